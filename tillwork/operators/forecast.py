@@ -171,3 +171,46 @@ def forest_cv(folds, settings: list[ForestSetting], parallelism: int = 8) -> lis
         rows.append({"trees": s.trees, "max_depth": s.depth, "min_leaf": s.min_leaf,
                      "mae_cv": mean, "mae_cv_std": std})
     return sorted(rows, key=lambda r: r["mae_cv"])
+
+
+@dataclass
+class Outlook:
+    """All forecasts of the test days, with the forest search behind one of them."""
+
+    scored: DataFrame          # day, revenue, naive, linear, forest
+    cv: list[dict]
+    forest: object
+
+    def metrics(self) -> DataFrame:
+        models = F.explode(F.array(*[
+            F.struct(F.lit(m).alias("model"), F.col(m).alias("prediction"))
+            for m in ("naive", "linear", "forest")]))
+        long = self.scored.select("revenue", models.alias("m")).select("revenue", "m.*")
+        return forecast_metrics(long, by=("model",))
+
+    def leaderboard(self, n: int = 5) -> list[dict]:
+        return [{**r, "max_depth": str(r["max_depth"])} for r in self.cv[:n]]
+
+    def compare(self) -> list[dict]:
+        """Error of the default setting (100 trees, no limits) and of the best one."""
+        default = next(r for r in self.cv if (r["trees"], r["max_depth"], r["min_leaf"]) == (100, None, 1))
+        return [{"mae_cv_default": default["mae_cv"], "mae_cv_tuned": self.cv[0]["mae_cv"]}]
+
+    def importance(self) -> list[dict]:
+        shares = map(float, self.forest.featureImportances.toArray())
+        rows = [{"feature": f, "importance": v} for f, v in zip(CALENDAR, shares)]
+        return sorted(rows, key=lambda r: -r["importance"])
+
+
+def run_outlook(daily: DataFrame, cut: str, grid: list[ForestSetting] = FOREST_GRID,
+                parallelism: int = 8) -> Outlook:
+    train, test = temporal_split(daily, cut)
+    cv = forest_cv(expanding_folds(train), grid, parallelism)
+    best = cv[0]
+    forest = fit_forest(train, ForestSetting(best["trees"], best["max_depth"], best["min_leaf"]))
+    linear = fit_linear(train)
+    naive = seasonal_naive(daily, cut).select("day", F.col("prediction").alias("naive"))
+    scored = predict_linear(linear, test).withColumnRenamed("prediction", "linear")
+    scored = predict_forest(forest, scored).withColumnRenamed("prediction", "forest")
+    return Outlook(
+        scored.select("day", "revenue", "linear", "forest").join(naive, "day"), cv, forest)

@@ -14,7 +14,8 @@ MONTH_ORDER = (12, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11)
 
 def complete_axis(df: DataFrame, axis: str, values: list[int], fill: dict | None = None) -> DataFrame:
     """One row for every value of a fixed axis; missing measures stay null or get ``fill``."""
-    domain = df.sparkSession.createDataFrame([(v,) for v in values], f"{axis} int")
+    domain = df.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(v) for v in values])).alias(axis))
     full = domain.join(df, axis, "left")
     return full.na.fill(fill) if fill else full
 

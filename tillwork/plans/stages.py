@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillwork.operators import clean, customers, forecast, products
 from tillwork.params import TEST_TABLES, Params
@@ -36,12 +37,12 @@ class Stages:
         self._lock = threading.RLock()
 
     def _stage(self, name: str, build: Callable[[], DataFrame],
-               partition_by: Sequence[str] = ()) -> DataFrame:
+               partition_by: Sequence[str] = (), cluster_by: Sequence[str] = ()) -> DataFrame:
         path = f"{self.folder}/{name}"
         with self._lock:
             if name not in self._schemas:
                 df = build()
-                write_table(df, path, partition_by)
+                write_table(df, path, partition_by, cluster_by)
                 self._schemas[name] = df.schema
         return self.spark.read.schema(self._schemas[name]).parquet(path)
 
@@ -54,13 +55,17 @@ class Stages:
 
     def parts(self) -> dict[str, DataFrame]:
         """The input as two overlapping deliveries, read back through the part reader."""
-        def view():
-            return self.once("view", lambda: dirty_sales(self.spark, self.sf_dir))
-
-        self._stage("part_1", lambda: view().where(F.col("invoice_ts") < FIRST_PART_END))
-        self._stage("part_2", lambda: view().where(F.col("invoice_ts") >= SECOND_PART_START))
+        def deliveries():
+            in_part = F.array(
+                F.when(F.col("invoice_ts") < FIRST_PART_END, 1),
+                F.when(F.col("invoice_ts") >= SECOND_PART_START, 2))
+            return dirty_sales(self.spark, self.sf_dir).withColumn(
+                "part", F.explode(F.array_compact(in_part)))
+
+        self._stage("parts", deliveries, ["part"])
+        schema = T.StructType([f for f in self._schemas["parts"] if f.name != "part"])
         return read_parts(
-            self.spark, {n: f"{self.folder}/{n}" for n in ("part_1", "part_2")}, self._schemas["part_1"])
+            self.spark, {f"part_{n}": f"{self.folder}/parts/part={n}" for n in (1, 2)}, schema)
 
     def raw(self) -> DataFrame:
         """Interim table: the parts joined into one after the overlap check."""
@@ -72,8 +77,13 @@ class Stages:
         return self._stage("raw", build)
 
     def audited(self) -> DataFrame:
-        """Every distinct line with the rule it fails; kept lines are one directory per month."""
-        return self._stage("audited", lambda: clean.audit_sales(self.raw()), ["rule", "sales_month"])
+        """Every distinct line with the rule it fails, one directory per rule.
+
+        Inside a rule, lines of a month are written together, so that the statistics of
+        the files rule out most of them for a time range; a directory per month would
+        be thousands of tiny files on a long, small data set.
+        """
+        return self._stage("audited", lambda: clean.audit_sales(self.raw()), ["rule"], ["sales_month"])
 
     def clean(self) -> DataFrame:
         """Kept lines; reading them touches only the directories of the kept rule."""

@@ -7,15 +7,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 
 
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Overwrite a Parquet table.
+def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
+                cluster_by: Sequence[str] = ()) -> None:
+    """Overwrite a Parquet table, one directory per value of ``partition_by``.
 
-    With partition columns the rows are rebalanced on them first: a plain write would
-    leave one small file per task and directory, and AQE splits a directory that holds
-    far more rows than the others over several tasks.
+    Rows are rebalanced on the partition and cluster columns first: a plain write would
+    leave one small file per task and directory. AQE then joins small groups into one
+    file and splits a group that holds far more rows than the others over several tasks.
     """
-    if partition_by:
-        df = df.hint("rebalance", *partition_by)
+    if partition_by or cluster_by:
+        df = df.hint("rebalance", *partition_by, *cluster_by)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
