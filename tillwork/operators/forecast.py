@@ -1,7 +1,8 @@
 """Daily revenue series, calendar features and the forecasts made from them.
 
 The series has one row per trading day, so its size is bounded by the calendar whatever
-the number of invoice lines; only ``daily_sales`` reads the lines.
+the number of invoice lines; only ``daily_sales`` reads the lines. That is why a window
+over all days and a fit on a single partition are fine here.
 """
 
 from __future__ import annotations
@@ -127,16 +128,47 @@ class ForestSetting:
 FOREST_GRID = [ForestSetting(t, d, m) for t in FOREST_TREES for d in FOREST_DEPTH for m in FOREST_MIN_LEAF]
 
 
-def fit_forest(train: DataFrame, setting: ForestSetting = ForestSetting(), seed: int = SEED):
-    """Forest on the four calendar numbers, all of them considered at every split."""
-    return RandomForestRegressor(
-        labelCol="revenue", numTrees=setting.trees, maxDepth=setting.depth or UNLIMITED_DEPTH,
-        minInstancesPerNode=setting.min_leaf, featureSubsetStrategy="all", maxBins=FOREST_BINS,
-        maxMemoryInMB=1024, seed=seed).fit(_features(train, CALENDAR))
+class Forest:
+    """A forest on the four calendar numbers, all of them considered at every split.
 
+    Trees are grown independently, so a forest of 300 is kept as three forests of 100
+    with seeds of their own: the search gets the forest of 100 trees from the first of
+    them, and the three can be fitted side by side.
+    """
 
-def predict_forest(model, df: DataFrame) -> DataFrame:
-    return model.transform(_features(df, CALENDAR)).drop("features")
+    MEMBER = 100
+
+    def __init__(self, train: DataFrame, setting: ForestSetting = ForestSetting(), seed: int = SEED):
+        rows = _features(train, CALENDAR).select("features", "revenue")
+        sizes = [min(self.MEMBER, setting.trees - i) for i in range(0, setting.trees, self.MEMBER)]
+        self.members = [
+            RandomForestRegressor(
+                labelCol="revenue", numTrees=n, maxDepth=setting.depth or UNLIMITED_DEPTH,
+                minInstancesPerNode=setting.min_leaf, featureSubsetStrategy="all", maxBins=FOREST_BINS,
+                cacheNodeIds=True, seed=seed + i).fit(rows)
+            for i, n in enumerate(sizes)]
+
+    def predict(self, df: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
+        """Add predictions: of all trees, or per column name of the first so many trees."""
+        out = _features(df, CALENDAR)
+        for i, member in enumerate(self.members):
+            out = member.setPredictionCol(f"_m{i}").transform(out)
+        weights = [m.getNumTrees for m in self.members]
+        for name, trees in (sizes or {"prediction": sum(weights)}).items():
+            used, used_weights = [], []
+            for i, w in enumerate(weights):
+                if sum(used_weights) < trees:
+                    used.append(F.col(f"_m{i}") * w)
+                    used_weights.append(w)
+            out = out.withColumn(name, sum(used[1:], used[0]) / sum(used_weights))
+        return out.drop("features", *[f"_m{i}" for i in range(len(self.members))])
+
+    def importances(self) -> dict[str, float]:
+        total = [0.0] * len(CALENDAR)
+        for m in self.members:
+            for i, v in enumerate(m.featureImportances.toArray()):
+                total[i] += float(v) * m.getNumTrees
+        return {f: v / sum(total) for f, v in zip(CALENDAR, total)}
 
 
 def expanding_folds(train: DataFrame, n_splits: int = FOLDS) -> list[tuple[DataFrame, DataFrame]]:
@@ -155,19 +187,28 @@ def expanding_folds(train: DataFrame, n_splits: int = FOLDS) -> list[tuple[DataF
 
 
 def forest_cv(folds, settings: list[ForestSetting], parallelism: int = 8) -> list[dict]:
-    """Mean absolute error of every setting over the folds, best first."""
+    """Mean absolute error of every setting over the folds, best first.
+
+    Settings that differ only in the number of trees share one fit, the largest.
+    """
+    shapes: dict[tuple, list[int]] = {}
+    for s in settings:
+        shapes.setdefault((s.depth, s.min_leaf), []).append(s.trees)
+
     def one(task):
-        setting, (train, test) = task
-        scored = predict_forest(fit_forest(train, setting), test)
-        return forecast_metrics(scored).first().mae
-
-    # Deep, large forests first, so that no long fit is left for the end.
-    order = sorted(range(len(settings)), key=lambda i: -(settings[i].trees * (settings[i].depth or 30)))
-    tasks = [(i, fold) for i in order for fold in folds]
-    errors = run_parallel(one, [(settings[i], fold) for i, fold in tasks], parallelism)
+        (depth, min_leaf), (train, test) = task
+        trees = shapes[depth, min_leaf]
+        forest = Forest(train, ForestSetting(max(trees), depth, min_leaf))
+        scored = forest.predict(test, {f"p{n}": n for n in trees})
+        row = scored.agg(*[F.avg(F.abs(F.col("revenue") - F.col(f"p{n}"))).alias(f"p{n}") for n in trees]).first()
+        return {ForestSetting(n, depth, min_leaf): row[f"p{n}"] for n in trees}
+
+    # Long fits first (deep trees, long folds), so that none of them is left for the end.
+    order = sorted(shapes, key=lambda s: (-(s[0] or UNLIMITED_DEPTH), s[1]))
+    results = run_parallel(one, [(shape, fold) for shape in order for fold in reversed(folds)], parallelism)
     rows = []
-    for i, s in enumerate(settings):
-        mean, std = mean_and_std([e for (j, _), e in zip(tasks, errors) if j == i])
+    for s in settings:
+        mean, std = mean_and_std([r[s] for r in results if s in r])
         rows.append({"trees": s.trees, "max_depth": s.depth, "min_leaf": s.min_leaf,
                      "mae_cv": mean, "mae_cv_std": std})
     return sorted(rows, key=lambda r: r["mae_cv"])
@@ -179,7 +220,7 @@ class Outlook:
 
     scored: DataFrame          # day, revenue, naive, linear, forest
     cv: list[dict]
-    forest: object
+    forest: Forest
 
     def metrics(self) -> DataFrame:
         models = F.explode(F.array(*[
@@ -197,8 +238,7 @@ class Outlook:
         return [{"mae_cv_default": default["mae_cv"], "mae_cv_tuned": self.cv[0]["mae_cv"]}]
 
     def importance(self) -> list[dict]:
-        shares = map(float, self.forest.featureImportances.toArray())
-        rows = [{"feature": f, "importance": v} for f, v in zip(CALENDAR, shares)]
+        rows = [{"feature": f, "importance": v} for f, v in self.forest.importances().items()]
         return sorted(rows, key=lambda r: -r["importance"])
 
 
@@ -207,10 +247,10 @@ def run_outlook(daily: DataFrame, cut: str, grid: list[ForestSetting] = FOREST_G
     train, test = temporal_split(daily, cut)
     cv = forest_cv(expanding_folds(train), grid, parallelism)
     best = cv[0]
-    forest = fit_forest(train, ForestSetting(best["trees"], best["max_depth"], best["min_leaf"]))
+    forest = Forest(train, ForestSetting(best["trees"], best["max_depth"], best["min_leaf"]))
     linear = fit_linear(train)
     naive = seasonal_naive(daily, cut).select("day", F.col("prediction").alias("naive"))
     scored = predict_linear(linear, test).withColumnRenamed("prediction", "linear")
-    scored = predict_forest(forest, scored).withColumnRenamed("prediction", "forest")
+    scored = forest.predict(scored).withColumnRenamed("prediction", "forest")
     return Outlook(
         scored.select("day", "revenue", "linear", "forest").join(naive, "day"), cv, forest)
