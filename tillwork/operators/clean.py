@@ -15,7 +15,7 @@ from tillwork.params import BUSINESS_COLUMNS, PRODUCT_EXCEPTIONS
 # Rules in the order they are applied; a row carries the first one it fails.
 RULES = ("exact_duplicate", "annulled_sale", "cancellation", "non_positive", "non_product")
 KEPT = "kept"
-MATCH_KEYS = ("customer_id", "stock_code", "price", "match_quantity")
+MATCH_KEYS = ("customer_id", "stock_code", "match_price", "match_quantity")
 
 
 def invoice_prefixes(raw: DataFrame) -> DataFrame:
@@ -66,7 +66,10 @@ def annulled_sales(df: DataFrame, bucket: str = "day") -> DataFrame:
     known = F.col("customer_id").isNotNull()
     instants = (
         df.select(
-            "customer_id", "stock_code", "price", "invoice_ts",
+            "customer_id", "stock_code", "invoice_ts",
+            # Equal prices have equal text. A floating key would be normalised anew by
+            # every window and grouping, each with a shuffle of its own.
+            (F.col("price") + 0.0).cast("string").alias("match_price"),
             F.when(cancel, -F.col("quantity")).otherwise(F.col("quantity")).alias("match_quantity"),
             F.when(known & ~cancel, F.col("rid")).alias("sale"),
             (known & cancel).alias("cancels"))
@@ -109,7 +112,9 @@ def audit_sales(raw: DataFrame) -> DataFrame:
     read back from the result.
     """
     rows = drop_exact_duplicates(normalize_codes(raw))
-    annulled = annulled_sales(rows).withColumn("annulled", F.lit(True))
+    # The condition always holds; it makes both branches need the number of copies, so
+    # that they share one shuffle of the rows instead of de-duplicating twice.
+    annulled = annulled_sales(rows.where(F.col("copies") > 0)).withColumn("annulled", F.lit(True))
     return (
         rows.join(annulled, "rid", "left")
         .withColumn("rule", first_failed_rule(F.coalesce("annulled", F.lit(False))))

@@ -54,7 +54,7 @@ def _inside(amounts: DataFrame, hits: DataFrame, label: str) -> DataFrame:
     down = W.partitionBy(label).orderBy(F.desc("amount")).rowsBetween(
         W.unboundedPreceding, W.currentRow)
     return (
-        amounts.join(hits, "bucket")
+        amounts.join(hits.withColumnRenamed("bucket", "_hit"), F.col("bucket").eqNullSafe(F.col("_hit")))
         .withColumn("n_to", F.col("n_above") + F.sum("n").over(down))
         .withColumn("sum_to", F.col("sum_above") + F.sum(F.col("n") * F.col("amount")).over(down))
         .withColumn("n_before", F.col("n_to") - F.col("n"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.functions.columns import ratio, sum_money, whole_days
-from tillwork.operators.products import with_share
+from tillwork.functions.columns import from_units, money_units, ratio, sum_money, whole_days
+from tillwork.operators.products import share_of_few
 from tillwork.operators.quantiles import exact_quantiles, medians
 from tillwork.params import LABEL_QUANTILE, PREDICTORS
 
@@ -15,55 +15,51 @@ def known_customers(clean: DataFrame) -> DataFrame:
     return clean.where(F.col("customer_id").isNotNull())
 
 
-def customer_totals(clean: DataFrame) -> DataFrame:
-    return known_customers(clean).groupBy("customer_id").agg(
-        F.countDistinct("invoice").alias("invoices"), sum_money(F.col("revenue")).alias("revenue"))
-
-
-def customer_summary(clean: DataFrame) -> DataFrame:
+def customer_summary(clean: DataFrame, activity: DataFrame) -> DataFrame:
     everything = clean.agg(sum_money(F.col("revenue"))).scalar()
-    return customer_totals(clean).agg(
+    return activity.agg(
         F.count("*").alias("customers"),
-        (ratio(F.sum("revenue"), everything) * 100).alias("pct_revenue_identified"),
-        (F.avg((F.col("invoices") == 1).cast("int")) * 100).alias("pct_one_invoice"))
+        (ratio(from_units(F.sum(money_units(F.col("revenue")))), everything) * 100).alias("pct_revenue_identified"),
+        (F.avg((F.col("frequency") == 1).cast("int")) * 100).alias("pct_one_invoice"))
 
 
 def country_sales(clean: DataFrame) -> DataFrame:
     table = clean.groupBy("country").agg(
         F.count("*").alias("lines"), F.countDistinct("customer_id").alias("customers"),
         sum_money(F.col("revenue")).alias("revenue"))
-    return with_share(table, "revenue", "pct_revenue")
+    return share_of_few(table, "revenue", "pct_revenue")
 
 
 def top_countries(clean: DataFrame, n: int = 10) -> DataFrame:
     return country_sales(clean).orderBy(F.desc("revenue"), "country").limit(n)
 
 
-def customer_features(clean: DataFrame, home_country: str) -> DataFrame:
-    """One row per known customer.
+def customer_activity(clean: DataFrame) -> DataFrame:
+    """One row per known customer: sums, extremes and distinct counts of the lines.
 
-    Recency and tenure are whole elapsed days up to midnight after the last sale. Sums,
-    extremes and distinct counts combine on the map side, so one customer may hold any
-    share of the lines.
+    All of them combine on the map side, so one customer may hold any share of the lines.
     """
-    known = known_customers(clean)
-    reference = known.agg(
-        F.date_add(F.max("invoice_ts").cast("date"), 1).cast("timestamp_ntz")).scalar()
-    return (
-        known.groupBy("customer_id")
-        .agg(sum_money(F.col("revenue")).alias("revenue"),
-             F.sum("quantity").alias("units"),
-             F.countDistinct("invoice").alias("frequency"),
-             F.count("*").alias("lines"),
-             F.min("invoice_ts").alias("first_ts"),
-             F.max("invoice_ts").alias("last_ts"),
-             F.countDistinct("stock_code").alias("distinct_products"),
-             F.min_by("country", F.when(F.col("country").isNotNull(), F.col("rid"))).alias("country"))
-        .withColumn("recency", whole_days(F.col("last_ts"), reference))
-        .withColumn("tenure", whole_days(F.col("first_ts"), reference))
-        .withColumn("lines_per_invoice", ratio(F.col("lines"), F.col("frequency")))
-        .withColumn("is_home", F.coalesce(F.col("country") == home_country, F.lit(False)).cast("int"))
-    )
+    return known_customers(clean).groupBy("customer_id").agg(
+        sum_money(F.col("revenue")).alias("revenue"),
+        F.sum("quantity").alias("units"),
+        F.countDistinct("invoice").alias("frequency"),
+        F.count("*").alias("lines"),
+        F.min("invoice_ts").alias("first_ts"),
+        F.max("invoice_ts").alias("last_ts"),
+        F.countDistinct("stock_code").alias("distinct_products"),
+        F.min_by("country", F.when(F.col("country").isNotNull(), F.col("rid"))).alias("country"))
+
+
+def customer_features(activity: DataFrame, home_country: str) -> DataFrame:
+    """Recency and tenure in whole elapsed days up to midnight after the last sale, lines
+    per invoice, and the home-country flag."""
+    reference = activity.agg(
+        F.date_add(F.max("last_ts").cast("date"), 1).cast("timestamp_ntz")).scalar()
+    return activity.withColumns({
+        "recency": whole_days(F.col("last_ts"), reference),
+        "tenure": whole_days(F.col("first_ts"), reference),
+        "lines_per_invoice": ratio(F.col("lines"), F.col("frequency")),
+        "is_home": F.coalesce(F.col("country") == home_country, F.lit(False)).cast("int")})
 
 
 def revenue_threshold(customers: DataFrame, q: float = LABEL_QUANTILE) -> DataFrame:

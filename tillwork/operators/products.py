@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwork.functions.columns import from_units, money_units, month_start, ntz, ratio, sum_money
@@ -57,6 +58,15 @@ def with_share(df: DataFrame, col: str, name: str, of: DataFrame | None = None)
     return df.withColumn(name, ratio(F.col(col), whole) * 100)
 
 
+def share_of_few(df: DataFrame, col: str, name: str) -> DataFrame:
+    """The same for a table that is short by nature (weekdays, hours, countries).
+
+    The total comes from a window over those few rows, which spares a second pass over
+    the lines they were counted from.
+    """
+    return df.withColumn(name, ratio(F.col(col), F.sum(col).over(W.partitionBy())) * 100)
+
+
 def top_products(products: DataFrame, col: str, n: int = 10) -> DataFrame:
     top = top_n(products, col, n, "stock_code").select("stock_code", "product", "units", "revenue")
     return with_share(top, col, f"pct_{col}", of=products).orderBy(F.desc(col), "stock_code")

@@ -68,8 +68,9 @@ def order_statistics(df: DataFrame, cols: Sequence[str],
         .select(*[F.col(c).alias(f"t_{c}") for c in (*group, "bucket")],
                 "rank_name", "total", (F.col("rank") - F.col("start")).alias("inner_rank"))
     )
-    same = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in by]
-    same += [F.col("column") == F.col("t_column"), F.col("bucket") == F.col("t_bucket")]
+    # Null-safe on every key: a plain equality would let the optimizer filter nulls on
+    # one side only, and the counts would be shuffled once per side instead of once.
+    same = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in (*group, "bucket")]
     inside = W.partitionBy(*group, "rank_name").orderBy("value").rowsBetween(
         W.unboundedPreceding, W.currentRow)
     return (

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwork.functions.columns import commercial_year, month_start, ntz, ratio, sum_money
-from tillwork.operators.products import with_share
+from tillwork.operators.products import share_of_few
 
 MONTH_ORDER = (12, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11)
 
@@ -124,13 +124,13 @@ def invoices_by_weekday(clean: DataFrame) -> DataFrame:
     counts = one_per_invoice(clean).groupBy(_weekday(F.col("invoice_ts")).alias("weekday")).agg(
         F.count("*").alias("invoices"))
     full = complete_axis(counts, "weekday", list(range(7)), {"invoices": 0})
-    return with_share(full, "invoices", "pct", of=counts).orderBy("weekday")
+    return share_of_few(full, "invoices", "pct").orderBy("weekday")
 
 
 def invoices_by_hour(clean: DataFrame) -> DataFrame:
     counts = one_per_invoice(clean).groupBy(F.hour("invoice_ts").alias("hour")).agg(
         F.count("*").alias("invoices"))
-    return with_share(counts, "invoices", "pct").orderBy("hour")
+    return share_of_few(counts, "invoices", "pct").orderBy("hour")
 
 
 def weekday_hour_counts(clean: DataFrame) -> DataFrame:

@@ -65,6 +65,9 @@ EXPORT_NAMES = {
     "Customer ID": "customer_id", "Country": "country",
 }
 
+EXPORT_SCHEMA = T.StructType([
+    T.StructField(name, RAW_SCHEMA[new].dataType) for name, new in EXPORT_NAMES.items()])
+
 
 @dataclass(frozen=True)
 class Params:

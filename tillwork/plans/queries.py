@@ -151,7 +151,7 @@ def describe_invoices(s: Stages) -> DataFrame:
 
 
 def describe_customers(s: Stages) -> DataFrame:
-    return _described(customers.customer_totals(s.clean()), ["invoices", "revenue"])
+    return _described(s.activity().withColumnRenamed("frequency", "invoices"), ["invoices", "revenue"])
 
 
 def invoice_totals(s: Stages) -> DataFrame:
@@ -225,12 +225,11 @@ def invoices_by_hour(s: Stages) -> DataFrame:
 
 
 def customer_summary(s: Stages) -> DataFrame:
-    return rounded(customers.customer_summary(s.clean()), pct_revenue_identified=6, pct_one_invoice=6)
+    return rounded(customers.customer_summary(s.clean(), s.activity()), pct_revenue_identified=6, pct_one_invoice=6)
 
 
 def pareto_top_share(s: Stages) -> DataFrame:
-    totals = customers.customer_totals(s.clean())
-    return rounded(concentration.pareto_top_share(totals, "revenue", PARETO_SHARES), revenue_share=6)
+    return rounded(concentration.pareto_top_share(s.activity(), "revenue", PARETO_SHARES), revenue_share=6)
 
 
 def country_sales(s: Stages) -> DataFrame:
@@ -268,8 +267,8 @@ def weekday_hour_matrix(s: Stages) -> DataFrame:
 # Customers and label --------------------------------------------------------------------
 
 def customer_features(s: Stages) -> DataFrame:
-    labelled = customers.with_premium_label(
-        customers.customer_features(s.clean(), s.params.home_country))
+    activity = customers.customer_activity(s.clean())
+    labelled = customers.with_premium_label(customers.customer_features(activity, s.params.home_country))
     return rounded(labelled, lines_per_invoice=6)
 
 
@@ -452,19 +451,19 @@ def segment_compare(s: Stages) -> DataFrame:
 
 
 def customer_segments(s: Stages) -> DataFrame:
-    return _segmentation(s).segments()
+    return s.stage("segments", lambda: _segmentation(s).segments())
 
 
 def kmeans_profile(s: Stages) -> DataFrame:
-    return segment.segment_profile(_segmentation(s).segments(), "kmeans")
+    return segment.segment_profile(customer_segments(s), "kmeans")
 
 
 def mean_shift_profile(s: Stages) -> DataFrame:
-    return segment.segment_profile(_segmentation(s).segments(), "mean_shift")
+    return segment.segment_profile(customer_segments(s), "mean_shift")
 
 
 def segment_crosstab(s: Stages) -> DataFrame:
-    return segment.crosstab(_segmentation(s).segments(), "kmeans", "mean_shift")
+    return segment.crosstab(customer_segments(s), "kmeans", "mean_shift")
 
 
 def _outlook(s: Stages) -> forecast.Outlook:

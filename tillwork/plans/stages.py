@@ -15,29 +15,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwork.operators import clean, customers, forecast, products
-from tillwork.params import TEST_TABLES, Params
+from tillwork.params import EXPORT_SCHEMA, ONLINE_SHOP, TEST_TABLES, Params
 from tillwork.session import shared_folder
-from tillwork.sources.parts import assert_overlap_identical, read_parts, union_parts
+from tillwork.sources.parts import (
+    assert_overlap_identical, read_parts, union_parts, with_row_ids, with_types,
+)
 from tillwork.sources.sinks import write_table
 from tillwork.sources.test_view import dirty_sales
 
-# The two parts of the test data overlap in June 1998.
+# The test data is delivered as two parts that overlap in June 1998.
 FIRST_PART_END, SECOND_PART_START = "1998-07-01", "1998-06-01"
 
 
 class Stages:
-    """The stage tables of one input folder in one Spark application."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str, params: Params = TEST_TABLES):
-        digest = hashlib.md5(f"{sf_dir}|{params}".encode()).hexdigest()[:12]
-        self.spark, self.sf_dir, self.params = spark, sf_dir, params
-        self.folder = f"{shared_folder(spark)}/tillwork/{spark.sparkContext.applicationId}/{digest}"
-        self._schemas: dict[str, object] = {}
+    """The stage tables of one data set in one Spark application.
+
+    ``deliver`` returns the two parts of the input, oldest first; every row carries a
+    unique ``rid`` that grows with its position in the delivery.
+    """
+
+    def __init__(self, spark: SparkSession, name: str,
+                 deliver: Callable[[Stages], dict[str, DataFrame]], params: Params,
+                 folder: str | None = None):
+        digest = hashlib.md5(f"{name}|{params}".encode()).hexdigest()[:12]
+        self.spark, self.params, self._deliver = spark, params, deliver
+        root = shared_folder(spark)
+        self.folder = folder or f"{root}/tillwork/{spark.sparkContext.applicationId}/{digest}"
+        self._schemas: dict[str, T.StructType] = {}
         self._memo: dict[str, object] = {}
         self._lock = threading.RLock()
 
-    def _stage(self, name: str, build: Callable[[], DataFrame],
-               partition_by: Sequence[str] = (), cluster_by: Sequence[str] = ()) -> DataFrame:
+    def stage(self, name: str, build: Callable[[], DataFrame],
+              partition_by: Sequence[str] = (), cluster_by: Sequence[str] = ()) -> DataFrame:
+        """Write the table unless this application has done so; read it back."""
         path = f"{self.folder}/{name}"
         with self._lock:
             if name not in self._schemas:
@@ -54,18 +64,7 @@ class Stages:
             return self._memo[name]
 
     def parts(self) -> dict[str, DataFrame]:
-        """The input as two overlapping deliveries, read back through the part reader."""
-        def deliveries():
-            in_part = F.array(
-                F.when(F.col("invoice_ts") < FIRST_PART_END, 1),
-                F.when(F.col("invoice_ts") >= SECOND_PART_START, 2))
-            return dirty_sales(self.spark, self.sf_dir).withColumn(
-                "part", F.explode(F.array_compact(in_part)))
-
-        self._stage("parts", deliveries, ["part"])
-        schema = T.StructType([f for f in self._schemas["parts"] if f.name != "part"])
-        return read_parts(
-            self.spark, {f"part_{n}": f"{self.folder}/parts/part={n}" for n in (1, 2)}, schema)
+        return self._deliver(self)
 
     def raw(self) -> DataFrame:
         """Interim table: the parts joined into one after the overlap check."""
@@ -74,7 +73,7 @@ class Stages:
             assert_overlap_identical(first, second)
             return union_parts(first, second)
 
-        return self._stage("raw", build)
+        return self.stage("raw", build)
 
     def audited(self) -> DataFrame:
         """Every distinct line with the rule it fails, one directory per rule.
@@ -83,31 +82,63 @@ class Stages:
         the files rule out most of them for a time range; a directory per month would
         be thousands of tiny files on a long, small data set.
         """
-        return self._stage("audited", lambda: clean.audit_sales(self.raw()), ["rule"], ["sales_month"])
+        return self.stage("audited", lambda: clean.audit_sales(self.raw()), ["rule"], ["sales_month"])
 
     def clean(self) -> DataFrame:
-        """Kept lines; reading them touches only the directories of the kept rule."""
+        """Kept lines; reading them touches only the directory of the kept rule."""
         return clean.clean_sales(self.audited())
 
     def products(self) -> DataFrame:
-        return self._stage("products", lambda: products.product_dim(self.clean()))
+        return self.stage("products", lambda: products.product_dim(self.clean()))
+
+    def activity(self) -> DataFrame:
+        return self.stage("activity", lambda: customers.customer_activity(self.clean()))
 
     def customers(self) -> DataFrame:
-        return self._stage("customers", lambda: customers.with_premium_label(
-            customers.customer_features(self.clean(), self.params.home_country)))
+        return self.stage("customers", lambda: customers.with_premium_label(
+            customers.customer_features(self.activity(), self.params.home_country)))
 
     def daily(self) -> DataFrame:
-        return self._stage("daily", lambda: forecast.calendar_features(
+        return self.stage("daily", lambda: forecast.calendar_features(
             forecast.drop_last_day(forecast.daily_sales(self.clean()))))
 
 
+def from_test_tables(spark: SparkSession, sf_dir: str) -> Stages:
+    """Stages over the test tables, whose dirty view is first written as two deliveries."""
+    def deliver(s: Stages) -> dict[str, DataFrame]:
+        def view():
+            in_part = F.array(
+                F.when(F.col("invoice_ts") < FIRST_PART_END, 1),
+                F.when(F.col("invoice_ts") >= SECOND_PART_START, 2))
+            return dirty_sales(spark, sf_dir).withColumn("part", F.explode(F.array_compact(in_part)))
+
+        both = s.stage("parts", view, ["part"])
+        schema = T.StructType([f for f in both.schema if f.name != "part"])
+        return read_parts(spark, {f"part_{n}": f"{s.folder}/parts/part={n}" for n in (1, 2)}, schema)
+
+    return Stages(spark, sf_dir, deliver, TEST_TABLES)
+
+
+def from_exports(spark: SparkSession, parts: dict[str, str], params: Params = ONLINE_SHOP,
+                 fmt: str = "csv", folder: str | None = None) -> Stages:
+    """Stages over two exported parts (headers as the shop writes them), oldest first."""
+    def deliver(s: Stages) -> dict[str, DataFrame]:
+        found = read_parts(spark, parts, EXPORT_SCHEMA, fmt)
+        # Numbered on the scan and written at once: the numbers must not change later.
+        return {name: s.stage(f"part_{i}", lambda df=df, i=i: with_types(with_row_ids(df, i)))
+                for i, (name, df) in enumerate(found.items())}
+
+    return Stages(spark, str(sorted(parts.items())), deliver, params, folder)
+
+
 _open: dict[tuple[str, str], Stages] = {}
 _open_lock = threading.Lock()
 
 
 def stages(spark: SparkSession, sf_dir: str) -> Stages:
+    """The stages of a folder of test tables, shared by all queries of the application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     with _open_lock:
         if key not in _open:
-            _open[key] = Stages(spark, sf_dir)
+            _open[key] = from_test_tables(spark, sf_dir)
         return _open[key]
