@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tillwork.functions.columns import ratio
 from tillwork.operators.quantiles import order_statistics
 from tillwork.operators.scaling import Scaler
-from tillwork.operators.tuning import mean_and_std, run_parallel
+from tillwork.operators.tuning import compact, mean_and_std, run_parallel
 from tillwork.params import (
     CLASS_WEIGHT, FOLDS, LOGISTIC_C, PREDICTORS, SEED, TEST_FRACTION, TREE_DEPTH, TREE_MIN_LEAF,
 )
@@ -220,7 +220,8 @@ def make_model(train: TrainingSet, setting):
 def make_folds(train: DataFrame, folds: int = FOLDS) -> list[tuple[TrainingSet, DataFrame]]:
     shared_folder(train.sparkSession)
     # Hundreds of fits start from these rows; the checkpoint keeps their plans short.
-    numbered = stratified_folds(train, folds=folds).checkpoint().persist()
+    numbered = stratified_folds(train, folds=folds).checkpoint()
+    numbered = compact(numbered, numbered.count()).persist()
     return [(TrainingSet.of(numbered.where(F.col("fold") != i)), numbered.where(F.col("fold") == i))
             for i in range(folds)]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,6 +10,7 @@ from tillwork.functions.columns import (
     invoice_prefix, is_cancellation, is_non_positive, is_product, is_standard_code,
     month_start, normal_code, ratio, starts_with_any, strip_text, sum_money,
 )
+from tillwork.operators.quantiles import exact_quantiles
 from tillwork.params import BUSINESS_COLUMNS, PRODUCT_EXCEPTIONS
 
 # Rules in the order they are applied; a row carries the first one it fails.
@@ -95,7 +96,7 @@ def annulled_sales(df: DataFrame, bucket: str = "day") -> DataFrame:
     return same_bucket.unionByName(earlier_bucket).distinct()
 
 
-def first_failed_rule(annulled) -> F.Column:
+def first_failed_rule(annulled: Column) -> Column:
     return (
         F.when(annulled, "annulled_sale")
         .when(is_cancellation(F.col("invoice")), "cancellation")
@@ -153,8 +154,6 @@ def cleaning_ledger(audited: DataFrame) -> DataFrame:
 
 def code_audit(audited: DataFrame) -> DataFrame:
     """Codes outside the product pattern that reach the last rule, and their fate."""
-    from tillwork.operators.quantiles import exact_quantiles
-
     odd = audited.where(F.col("rule").isin(KEPT, "non_product")
                         & ~is_standard_code(F.col("stock_code")))
     lines = odd.groupBy("stock_code").agg(

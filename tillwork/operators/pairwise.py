@@ -112,7 +112,7 @@ def _mean_silhouette(labeling: int, sizes: list[int], offset: int) -> Column:
 # Bandwidth ------------------------------------------------------------------------------
 
 SEARCH_BINS = 64
-SEARCH_ROUNDS = 5  # 64 ** 5 steps of the largest distance, about 1e-9 of it
+SEARCH_ROUNDS = 4  # 64 ** 4 steps: each distance is known to 3e-8 of the largest one
 
 
 def estimate_bandwidths(points: DataFrame, quantiles: Sequence[float],
@@ -137,21 +137,14 @@ def estimate_bandwidths(points: DataFrame, quantiles: Sequence[float],
         if left.empty or right.empty:
             return pd.DataFrame(columns=[key, "q", *names])
         dist = distances(left, right)
+        dist.sort(axis=1)
         low, step = np.stack(left["low"].to_numpy()), np.stack(left["step"].to_numpy())
-        shared = bool((low == low[:, :1]).all() and (step == step[:, :1]).all())
-        frames, below = [], None
-        for q in range(count):
-            if below is None or not shared:
-                slot = np.floor((dist - low[:, q, None]) / step[:, q, None])
-                slot = np.clip(slot, 0, bins).astype(np.int64)
-                slot += (np.arange(len(left)) * (bins + 1))[:, None]
-                hist = np.bincount(slot.ravel(), minlength=len(left) * (bins + 1))
-                below = np.cumsum(hist.reshape(len(left), bins + 1), axis=1)[:, :bins]
-            out = pd.DataFrame(below.astype(float), columns=names)
-            out.insert(0, "q", q)
-            out.insert(0, key, left[key].to_numpy())
-            frames.append(out)
-        return pd.concat(frames, ignore_index=True)
+        cuts = low[:, :, None] + step[:, :, None] * np.arange(1, bins + 1)
+        below = np.stack([row.searchsorted(c) for row, c in zip(dist, cuts.reshape(len(left), -1))])
+        out = pd.DataFrame(below.reshape(-1, bins).astype(float), columns=names)
+        out.insert(0, "q", np.tile(np.arange(count), len(left)))
+        out.insert(0, key, np.repeat(left[key].to_numpy(), count))
+        return out
 
     start = [F.array(*[F.lit(v)] * count) for v in (0.0, reach * (1 + 1e-9) / bins)]
     state = points.select(key, "x", start[0].alias("low"), start[1].alias("step"))

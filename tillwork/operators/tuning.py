@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def run_parallel(fn: Callable, tasks: Sequence, parallelism: int) -> list:
@@ -20,3 +20,15 @@ def mean_and_std(scores: Sequence[float]) -> tuple[float, float]:
     """Mean and population deviation over the folds."""
     mean = sum(scores) / len(scores)
     return mean, (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
+
+
+ROWS_PER_TASK = 100_000
+
+
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """Fewer partitions for a table of known, small size that iterative fits scan often.
+
+    Only ever lowers their number; a large table keeps the partitions it has.
+    """
+    wanted = max(1, -(-rows // ROWS_PER_TASK))
+    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df
