@@ -56,7 +56,9 @@ def test_search_and_study(shoppers):
     assert cv[0]["f1_cv"] >= cv[1]["f1_cv"] > 0.7
     tree = classify.TreeModel(classify.TrainingSet.of(df), classify.TreeSetting(2, 10))
     assert max(tree.importances(), key=tree.importances().get) == "frequency"
-    assert "frequency <=" in tree.rules() and "feature" not in tree.rules()
+    rules = tree.rules().split("\n")
+    assert rules[0].startswith("If (frequency <=") and not any("feature" in line for line in rules)
+    assert len(tree.rules(0).split("\n")) == 2 and len(rules) > 2
 
 
 def test_metrics(spark):

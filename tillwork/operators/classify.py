@@ -206,11 +206,14 @@ class TreeModel:
     def importances(self) -> dict[str, float]:
         return dict(zip(PREDICTORS, map(float, self.fitted.featureImportances.toArray())))
 
-    def rules(self) -> str:
+    def rules(self, levels: int = 4) -> str:
+        """The tree as nested conditions, without the branches below ``levels`` questions."""
         text = self.fitted.toDebugString
         for i in reversed(range(len(PREDICTORS))):
             text = text.replace(f"feature {i} ", f"{PREDICTORS[i]} ")
-        return text
+        lines = text.rstrip().split("\n")[1:]  # the first line names the object, not the tree
+        depth = lambda line: len(line) - len(line.lstrip()) - 2
+        return "\n".join(line[2:] for line in lines if depth(line) <= levels)
 
 
 def make_model(train: TrainingSet, setting):
@@ -232,7 +235,7 @@ def cross_validate(folds, settings: list, parallelism: int = 8) -> list[dict]:
         setting, (train, held_out) = task
         return f1_positive(make_model(train, setting).predict(held_out))
 
-    scores = run_parallel(one, [(s, f) for s in settings for f in folds], parallelism)
+    scores = run_parallel(folds[0][1].sparkSession, one, [(s, f) for s in settings for f in folds], parallelism)
     rows = []
     for i, s in enumerate(settings):
         mean, std = mean_and_std(scores[i * len(folds):(i + 1) * len(folds)])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -128,6 +128,18 @@ class ForestSetting:
 FOREST_GRID = [ForestSetting(t, d, m) for t in FOREST_TREES for d in FOREST_DEPTH for m in FOREST_MIN_LEAF]
 
 
+class _MemberModel(RandomForestRegressionModel):
+    """Without ``trees``: PySpark reads every property of a new model, and that one wraps
+    each tree in a Python object, which takes longer than growing a shallow forest."""
+
+    trees = ()
+
+
+class _Member(RandomForestRegressor):
+    def _create_model(self, java_model):
+        return _MemberModel(java_model)
+
+
 class Forest:
     """A forest on the four calendar numbers, all of them considered at every split.
 
@@ -141,12 +153,14 @@ class Forest:
     def __init__(self, train: DataFrame, setting: ForestSetting = ForestSetting(), seed: int = SEED):
         rows = _features(train, CALENDAR).select("features", "revenue")
         sizes = [min(self.MEMBER, setting.trees - i) for i in range(0, setting.trees, self.MEMBER)]
-        self.members = [
-            RandomForestRegressor(
+        def grow(member):
+            i, n = member
+            return _Member(
                 labelCol="revenue", numTrees=n, maxDepth=setting.depth or UNLIMITED_DEPTH,
                 minInstancesPerNode=setting.min_leaf, featureSubsetStrategy="all", maxBins=FOREST_BINS,
                 cacheNodeIds=True, seed=seed + i).fit(rows)
-            for i, n in enumerate(sizes)]
+
+        self.members = run_parallel(train.sparkSession, grow, list(enumerate(sizes)), len(sizes))
 
     def predict(self, df: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
         """Add predictions: of all trees, or per column name of the first so many trees."""
@@ -186,10 +200,11 @@ def expanding_folds(train: DataFrame, n_splits: int = FOLDS) -> list[tuple[DataF
              numbered.where((F.col("_no") >= s) & (F.col("_no") < s + block))) for s in starts]
 
 
-def forest_cv(folds, settings: list[ForestSetting], parallelism: int = 8) -> list[dict]:
+def forest_cv(folds, settings: list[ForestSetting], parallelism: int = 4) -> list[dict]:
     """Mean absolute error of every setting over the folds, best first.
 
-    Settings that differ only in the number of trees share one fit, the largest.
+    Settings that differ only in the number of trees share one fit, the largest; its
+    members are fitted side by side on top of ``parallelism``.
     """
     shapes: dict[tuple, list[int]] = {}
     for s in settings:
@@ -205,7 +220,8 @@ def forest_cv(folds, settings: list[ForestSetting], parallelism: int = 8) -> lis
 
     # Long fits first (deep trees, long folds), so that none of them is left for the end.
     order = sorted(shapes, key=lambda s: (-(s[0] or UNLIMITED_DEPTH), s[1]))
-    results = run_parallel(one, [(shape, fold) for shape in order for fold in reversed(folds)], parallelism)
+    tasks = [(shape, fold) for shape in order for fold in reversed(folds)]
+    results = run_parallel(folds[0][0].sparkSession, one, tasks, parallelism)
     rows = []
     for s in settings:
         mean, std = mean_and_std([r[s] for r in results if s in r])
@@ -243,7 +259,7 @@ class Outlook:
 
 
 def run_outlook(daily: DataFrame, cut: str, grid: list[ForestSetting] = FOREST_GRID,
-                parallelism: int = 8) -> Outlook:
+                parallelism: int = 4) -> Outlook:
     train, test = temporal_split(daily, cut)
     cv = forest_cv(expanding_folds(train), grid, parallelism)
     best = cv[0]

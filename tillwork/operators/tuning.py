@@ -9,11 +9,10 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
-def run_parallel(fn: Callable, tasks: Sequence, parallelism: int) -> list:
+def run_parallel(spark: SparkSession, fn: Callable, tasks: Sequence, parallelism: int) -> list:
     """Call ``fn`` for every task from a few driver threads; each call starts Spark jobs."""
-    session = SparkSession.getActiveSession()
     with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
-        return pool.map(inheritable_thread_target(session)(fn), tasks, chunksize=1)
+        return pool.map(inheritable_thread_target(spark)(fn), tasks, chunksize=1)
 
 
 def mean_and_std(scores: Sequence[float]) -> tuple[float, float]:
