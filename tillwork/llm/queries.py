@@ -6,15 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwork.llm import simhash
+from tillwork.llm import simhash, substrings, tokens
 from tillwork.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = substrings.parse(table(spark, sf_dir, "documents"), window=13)
+    return parsed.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, max_bits=4, seed=42)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_simhash_near_dedup,)}
+    f.__name__: f for f in (op1_substring_dedup, op8_simhash_near_dedup, op9_token_counts)}
 
 ORACLES: dict[str, str] = {}

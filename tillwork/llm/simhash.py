@@ -52,18 +52,10 @@ def fingerprint_array(texts: pa.Array, size: int, seed: int) -> np.ndarray:
     out = np.zeros(len(texts), np.uint64)
     if not len(words.starts):
         return out
-    kept = np.zeros(len(words.data) + 1, np.int32)  # each word and the byte behind it, if that is white space
-    kept[words.starts] += 1
-    kept[np.minimum(words.ends + 1, len(words.data))] -= 1
-    inside = np.cumsum(kept[:-1]) > 0
-    lowered = _LOWER[words.data]
-    lowered[np.isin(lowered, (9, 10, 11, 12, 13))] = 32
-    place = np.cumsum(inside)
-    text = lowered[inside].tobytes()
+    text, begin, end = words.joined(_LOWER[words.data])
     first, last, n = _shingle_bounds(words, size)
-    begin, end = (place[words.starts] - 1)[first].tolist(), place[words.ends - 1][last].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(text[b:e], seed) for b, e in zip(begin, end)), np.uint64, len(begin))
+    hashes = np.fromiter((digest(text[b:e], seed) for b, e in zip(begin[first].tolist(), end[last].tolist())), np.uint64, len(first))
     some = np.flatnonzero(n)
     at = (np.cumsum(n) - n)[some]
     for lo in range(0, len(some), 256):  # a few texts' bits at once

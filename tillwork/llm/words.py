@@ -17,6 +17,8 @@ PIECE_BYTES = 4 << 20  # of text handled at once; a longer text is handled alone
 HASHED_WORDS = 1 << 17  # words whose bytes are widened to 64 bits at once
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+LETTERS = np.zeros(256, bool)  # a word made of letters and digits only; bytes of other alphabets count as letters
+LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _OF_BYTE = np.random.default_rng(13).integers(1, 2**63, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,6 +60,20 @@ class Words:
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
+    def joined(self, data: np.ndarray, keep: np.ndarray | None = None) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Words of one text with one space between them, and where each word begins and ends.
+
+        ``data``: the bytes to take, of the same length as those scanned. Only words of
+        ``keep`` are taken; the places of others mean nothing.
+        """
+        starts, ends = (self.starts, self.ends) if keep is None else (self.starts[keep], self.ends[keep])
+        mark = np.zeros(len(data) + 1, np.int8)  # each word and the white space byte behind it
+        mark[starts] += 1
+        mark[np.minimum(ends + 1, len(data))] -= 1
+        taken = np.cumsum(mark[:-1], dtype=np.int8) > 0
+        place = np.r_[0, np.cumsum(taken)]
+        return np.where(_IS_WORD[data], data, np.uint8(32))[taken].tobytes(), place[self.starts], place[self.ends]
+
     def hashes(self) -> np.ndarray:
         out = np.empty(len(self.starts), np.uint64)
         for i in range(0, len(out), HASHED_WORDS):
@@ -70,14 +86,14 @@ class Words:
         return mix(out)
 
 
-def scan(texts: pa.Array) -> Words:
-    """The words of each text; a null text has none."""
+def scan(texts: pa.Array, is_word: np.ndarray = _IS_WORD) -> Words:
+    """The words of each text, runs of the given bytes; a null text has none."""
     texts = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw else np.empty(0, np.uint8)
     offsets = offsets - offsets[0]
-    word = _IS_WORD[data]
+    word = is_word[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before, after = np.r_[False, word[:-1]][:len(word)], np.r_[word[1:], False][:len(word)]
