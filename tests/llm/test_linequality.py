@@ -45,7 +45,7 @@ def got(df):
 
 
 def hosted():
-    body = lambda i: " ".join(f"w{i}_{j}" for j in range(9))
+    body = lambda i: " ".join("word" + "x" * i + "yz"[j % 2] * (j + 1) for j in range(9))
     menu, foot = "Home | About  | Page 12", "Copyright 2020 by Someone"
     rows = []
     for i in range(60):

@@ -72,6 +72,8 @@ def test_ids_match_the_library(library):
     odd = ["a", " ", "  ", "\n", "'s", "É", "ß", "Ж", "中", "🙂", "12", "²", "़", "\x1c", "\x85", "​", "　", "\xa0", "!", "<|endoftext|>",
            "<|startoftext|>", "THE", "ing", "é", "́", "İ", "ΑΣ", "\x0b", "ﬁ", "a'Re", "𝔘"]
     texts = ["".join(rnd.choice(odd) for _ in range(rnd.randrange(40))) for _ in range(3000)] + ["", None, "x" * 5000]
+    latin = [*map(chr, range(33, 127)), *map(chr, range(0xC0, 0x100)), "'s", "'LL", "the", "ing", "12", " "]
+    texts += ["".join(rnd.choice(latin) for _ in range(rnd.randrange(60))) for _ in range(3000)]
     encode = packing.Tokenizer(open(PATH).read())
     ids, size = encode(pa.array(texts))
     want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]

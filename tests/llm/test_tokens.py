@@ -9,7 +9,7 @@ from tillwork.llm import tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-MERGES = tokens.Merges(PATH)
+MERGES = tokens.byte_level(PATH)
 
 
 @pytest.fixture(scope="module")

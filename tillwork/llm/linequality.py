@@ -44,7 +44,7 @@ def with_repeated_words(df: DataFrame, words: str, out: str, window: int = 3) ->
     parts = [F.slice("__h", i + 1, F.greatest(n - (window - 1), F.lit(0))) for i in range(window)]
     df = df.withColumn("__h", F.transform(words, lambda w: F.xxhash64(w)))
     df = df.withColumn("__w", F.transform(F.arrays_zip(*[p.alias(f"p{i}") for i, p in enumerate(parts)]),
-                                          lambda s: F.xxhash64(*[s[str(i)] for i in range(window)])))
+                                          lambda s: F.xxhash64(*[s[f"p{i}"] for i in range(window)])))
     packed = F.transform("__w", lambda h, i: h.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long")))
     df = df.withColumn("__s", F.when(F.size(F.array_distinct("__w")) < F.size("__w"), F.sort_array(packed))
                        .otherwise(F.array().cast("array<long>")))

@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from tillwork.llm.common import columns, stash
 from tillwork.llm.linequality import word_array
 
-ROUNDS = 80  # a bracketed Newton step at least halves the bracket in two rounds
-CLOSE = 1e-9  # of the target
+ROUNDS = 60
+CLOSE = 1e-6  # of the target, or of a thousand words where the target is less
 GROUP_ROWS = 50_000  # documents ranked in one group
 
 
 def _exact(value) -> F.Column:
-    """Sum of thousandths, the same in any order of the rows."""
-    return F.sum(F.round(value * 1000).cast("decimal(38,0)")).cast("double") / 1000
+    """Sum of millionths, the same in any order of the rows."""
+    return F.sum(F.round(value * 1e6).cast("decimal(38,0)")).cast("double") / 1e6
 
 
 def source_targets(sized: DataFrame, share: float, cap: float, weights: tuple[int, ...]) -> DataFrame:
@@ -77,7 +77,7 @@ def tilts(sizes: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
         step = step.withColumns({"lo": F.when(gap < 0, F.col("tilt")).otherwise(F.col("lo")),
                                  "hi": F.when(gap >= 0, F.col("tilt")).otherwise(F.col("hi")),
                                  "newton": F.col("tilt") - gap / F.nullif("slope", F.lit(0.0)),
-                                 "miss": F.abs(gap) / F.greatest(F.col("target"), F.lit(1.0))})
+                                 "miss": F.abs(gap) / F.greatest(F.col("target"), F.lit(1000.0))})
         inside = (F.col("newton") > F.col("lo")) & (F.col("newton") < F.col("hi"))
         new = F.when(F.col("miss") <= CLOSE, F.col("tilt")).when(inside, F.col("newton")).otherwise(
             (F.col("lo") + F.col("hi")) / 2)

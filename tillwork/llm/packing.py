@@ -9,41 +9,74 @@ sequences, so many small groups lose little against one.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwork.llm.common import columns, stash
+from tillwork.llm.tokens import Merges
 from tillwork.llm.words import pieces
 
 GROUP_PIECES = 1 << 16  # packed together in one task
 KNOWN = 300_000  # words whose ids a worker remembers; then it begins anew
+_LETTER, _DIGIT, _SIGN, _LINE = range(4)
+_KIND = np.full(256, _SIGN, np.uint8)  # of the bytes of plain words in lower case
+_KIND[[*range(97, 123), *range(128, 256)]], _KIND[48:58], _KIND[10] = _LETTER, _DIGIT, _LINE
 
 
 class Tokenizer:
-    """Ids of texts by the library, each different word encoded once.
+    """Ids of texts as the library gives them, each different word encoded once.
 
     Holds for vocabularies whose pre-tokens never reach over ASCII white space and do not
-    depend on it, which is checked when the file is read.
+    depend on it. Words of Latin letters, digits and ASCII signs without an apostrophe, for which
+    lower case, composition and cutting are plain, are cut and merged together as
+    arrays, many times faster than one by one; all other words go to the library.
     """
 
+    PLAIN = regex.compile(r"[\x21-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]+")
+    #: Fixed value: how the vocabulary cuts words.
+    CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
     def __init__(self, spec: str):
         from tokenizers import Tokenizer as Library
         self.library = Library.from_str(spec)
-        if self.library.encode("a  b\n c", add_special_tokens=False).ids != [
-                i for w in "abc" for i in self.library.encode(w, add_special_tokens=False).ids]:
-            raise ValueError("this vocabulary gives white space a meaning")
+        parsed = json.loads(spec)
+        steps = [s.get("type") for s in (parsed["normalizer"] or {}).get("normalizers", [])]
+        cut = (parsed["pre_tokenizer"].get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+        if steps != ["NFC", "Replace", "Lowercase"] or cut != self.CUT:
+            raise ValueError("this vocabulary cuts text in another way")
+        self.merges = Merges(parsed)
         self._forget()
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.begin, self.size, self.ids = [], [], []
+        self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _learn(self, words: list[str]) -> None:
+        plain, others = [], []
+        for w in words:
+            ok = w and "<|" not in w and "'" not in w and (w.isprintable() if w.isascii() else self.PLAIN.fullmatch(w))
+            (plain if ok else others).append(w)
+        raw = np.frombuffer("\n".join(plain).lower().encode(), np.uint8)
+        kind = _KIND[raw]
+        new = np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)][:len(raw)]  # a digit is cut off alone
+        begin = np.flatnonzero(new)
+        size, line = np.diff(np.r_[begin, len(raw)]), kind[begin] == _LINE
+        ids, n = self.merges.symbols(raw[kind != _LINE], size[~line])
+        per_word = np.bincount(np.cumsum(line)[~line], n, len(plain)).astype(np.int64)
+        rest = [e.ids for e in self.library.encode_batch(others, add_special_tokens=False)]
+        for word in (*plain, *others):
+            self.place[word] = len(self.place)
+        self.size = np.concatenate([self.size, per_word, np.array([len(i) for i in rest], np.int64)])
+        self.ids = np.concatenate([self.ids, ids, np.array([x for i in rest for x in i], np.int64)]).astype(np.int32)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of ids of each text."""
@@ -52,18 +85,12 @@ class Tokenizer:
         words = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = words.flatten().dictionary_encode()
         different = coded.dictionary.to_pylist()
-        new = [w for w in different if w not in self.place]
-        for word, encoding in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            self.place[word] = len(self.begin)
-            self.begin.append(len(self.ids))
-            self.size.append(len(encoding.ids))
-            self.ids.extend(encoding.ids)
-        at = np.fromiter((self.place[w] for w in different), np.int64, len(different))[np.asarray(coded.indices)]
-        begin, size = np.array(self.begin, np.int64), np.array(self.size, np.int64)
-        length = size[at] if len(at) else np.empty(0, np.int64)
+        self._learn([w for w in different if w not in self.place])
+        at = np.fromiter(map(self.place.__getitem__, different), np.int64, len(different))[np.asarray(coded.indices)]
+        begin = (np.cumsum(self.size) - self.size)[at]
+        length = self.size[at]
         upto = np.r_[0, np.cumsum(length)]
-        take = np.arange(upto[-1]) + np.repeat((begin[at] if len(at) else length) - upto[:-1], length)
-        ids = np.array(self.ids, np.int64)[take] if len(take) else np.empty(0, np.int64)
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], length)]
         first = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(words)))]
         return ids, np.diff(upto[first])
 

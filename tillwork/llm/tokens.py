@@ -31,20 +31,18 @@ def byte_letters() -> dict[str, int]:
 
 
 class Merges:
-    """The merge rules of a byte-level BPE vocabulary as sorted arrays."""
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre, model = spec["pre_tokenizer"], spec["model"]
-        if pre["type"] != "ByteLevel" or pre["add_prefix_space"] or spec["normalizer"] or model["type"] != "BPE":
-            raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
-        vocab = model["vocab"]
+    """The merge rules of a BPE vocabulary over byte letters, as sorted arrays."""
+
+    def __init__(self, spec: dict):
+        model = spec["model"]
+        if model["type"] != "BPE" or model.get("continuing_subword_prefix"):
+            raise ValueError("not a byte-level BPE vocabulary")
+        vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.size = max(vocab.values()) + 1
-        self.of_byte = np.zeros(256, np.int64)
+        self.of_byte, self.of_last = np.zeros(256, np.int64), np.zeros(256, np.int64)
         for letter, byte in byte_letters().items():
-            self.of_byte[byte] = vocab[letter]
+            self.of_byte[byte], self.of_last[byte] = vocab[letter], vocab[letter + end]
         key = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(key)
         self.key, self.rank = key[order], order.astype(np.int32)
@@ -56,29 +54,34 @@ class Merges:
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where(self.key[at] == key, self.rank[at], NEVER)
 
-    def counts(self, tokens: list[bytes]) -> np.ndarray:
-        """Symbols left of each pre-token; none may be empty."""
-        out = np.zeros(len(tokens), np.int64)
-        size = np.array([len(t) for t in tokens], np.int64)
-        owner = np.repeat(np.arange(len(tokens)), size)
-        sym = self.of_byte[np.frombuffer(b"".join(tokens), np.uint8)]
+    def symbols(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens end to end, and how many each has.
+
+        ``raw``: the bytes of the pre-tokens end to end; ``size``: how many each has, none of them 0.
+        """
+        owner = np.repeat(np.arange(len(size)), size)
+        sym = self.of_byte[raw]
+        last = np.cumsum(size) - 1
+        sym[last] = self.of_last[raw[last]]
         rank = np.full(len(sym), NEVER, np.int32)
         rank[:-1] = np.where(owner[1:] == owner[:-1], self.ranks(sym[:-1], sym[1:]), NEVER)
+        ready, ready_owner = [], []
         while len(sym):
             begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             length = np.diff(np.r_[begin, len(sym)])
             lowest = np.minimum.reduceat(rank, begin)
-            done = lowest == NEVER
-            out[owner[begin[done]]] = length[done]
+            low = np.repeat(lowest, length)
+            done = low == NEVER
+            ready.append(sym[done])
+            ready_owner.append(owner[done])
             if done.all():
                 break
-            low = np.repeat(lowest, length)
-            hit = np.flatnonzero((rank == low) & (low != NEVER))
+            hit = np.flatnonzero((rank == low) & ~done)
             run = np.r_[True, np.diff(hit) != 1]  # in a chain such as aaa every other place merges
             chain = np.flatnonzero(run)[np.cumsum(run) - 1]
             hit = hit[(np.arange(len(hit)) - chain) % 2 == 0]
             sym[hit] = self.made[rank[hit]]
-            stay = ~np.repeat(done, length)
+            stay = ~done
             stay[hit + 1] = False
             place = np.cumsum(stay) - 1
             sym, rank, owner = sym[stay], rank[stay], owner[stay]
@@ -87,7 +90,24 @@ class Merges:
                 right = np.minimum(at + 1, len(sym) - 1)
                 inside = (at + 1 < len(sym)) & (owner[at] == owner[right])
                 rank[at] = np.where(inside, self.ranks(sym[at], sym[right]), NEVER)
-        return out
+        owner = np.concatenate(ready_owner) if ready else owner
+        sym = (np.concatenate(ready) if ready else sym)[np.argsort(owner, kind="stable")]
+        return sym, np.bincount(owner, minlength=len(size))
+
+    def counts(self, tokens: list[bytes]) -> np.ndarray:
+        """Symbols left of each pre-token."""
+        size = np.array([len(t) for t in tokens], np.int64)
+        return self.symbols(np.frombuffer(b"".join(tokens), np.uint8), size)[1]
+
+
+def byte_level(path: str) -> Merges:
+    """The rules of a vocabulary without normaliser that cuts by the usual byte-level pattern."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = spec["pre_tokenizer"]
+    if pre["type"] != "ByteLevel" or pre["add_prefix_space"] or spec["normalizer"]:
+        raise ValueError(f"{path} is not a plain byte-level vocabulary")
+    return Merges(spec)
 
 
 class Counter:
@@ -123,7 +143,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
     special tokens inside a text count as that one token. A null or empty text has no bytes
     and no tokens; repeated rows each give a row; no rows give none.
     """
-    merges = docs.sparkSession.sparkContext.broadcast(Merges(vocabulary))
+    merges = docs.sparkSession.sparkContext.broadcast(byte_level(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(merges.value)
