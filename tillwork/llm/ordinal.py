@@ -89,7 +89,7 @@ def fit(docs: DataFrame, ratings: DataFrame, eligible: Column, grades: int, samp
         w, cut = fit_weights([p.column("text") for p in batches], grade, grades)
         return pa.table([pa.array([to_blob(w)]), pa.array([cut.tolist()], pa.list_(pa.float64()))], ["weights", "cuts"])
 
-    model = taken.groupBy(F.lit(1)).applyInArrow(train, "weights binary, cuts array<double>").first()
+    model = taken.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(train, "weights binary, cuts array<double>").first()
     if model is None:
         even = np.arange(1, grades) / grades
         return np.zeros(DIM), np.log(even / (1 - even))

@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column, sample: int = SAMP
         w, b = fit_weights([p.column("text") for p in batches], toxic)
         return pa.table([pa.array([to_blob(w)]), pa.array([b])], ["weights", "bias"])
 
-    model = taken.groupBy(F.lit(1)).applyInArrow(train, "weights binary, bias double").first()
+    model = taken.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(train, "weights binary, bias double").first()
     return (from_blob(model["weights"]), model["bias"]) if model else (np.zeros(DIM), START)
 
 
