@@ -147,7 +147,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, centroids: int = 32
     for r in coded.groupBy("cell").count().collect():
         size[r["cell"]] = r["count"]
     total = int(size.sum())
-    wanted = int(np.ceil(probe * total))
+    wanted = max(int(np.ceil(probe * total)), 2 * k + 1)
     first_block, part_of = _blocks(size)
     query_blocks = total // every // QUERY_BLOCK + 1
 

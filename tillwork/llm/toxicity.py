@@ -21,8 +21,8 @@ from tillwork.llm.words import Words, pieces
 
 DIM = 1 << 18
 SAMPLE = 8000  # labelled documents on which the model is fitted
-MIN_DOCS = 4  # a place is used if so many of them have it
-PENALTY, STEP, ROUNDS, START = 1e-4, 20.0, 80, -6.0
+MIN_DOCS = 3  # a place is used if so many of them have it
+PENALTY, STEP, ROUNDS, START = 2e-4, 20.0, 100, -6.0
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True
 
@@ -62,13 +62,16 @@ def fit_weights(texts: list[pa.Array], toxic: np.ndarray) -> tuple[np.ndarray, f
         return loss + PENALTY * np.abs(w).sum(), slope[row] * sigmoid(z)
 
     w, b, step = np.zeros(DIM), START, STEP
-    ahead, ahead_b, pace, last = w, b, 1.0, np.inf
-    for _ in range(ROUNDS):
+    ahead, ahead_b, pace = w, b, 1.0
+    best = (np.inf, w, b)
+    for _ in range(ROUNDS):  # accelerated proximal steps
         loss, slope = loss_and_slope(ahead, ahead_b)
-        if loss > 1.2 * last:  # overshot: begin the momentum anew from the last point, with shorter steps
+        if loss > 1.05 * best[0]:  # overshot: back to the best point, without momentum and with shorter steps
+            _, w, b = best
             ahead, ahead_b, pace, step = w, b, 1.0, step / 2
-            continue
-        last = min(last, loss)
+            loss, slope = loss_and_slope(ahead, ahead_b)
+        if loss < best[0]:
+            best = (loss, ahead, ahead_b)
         new = ahead - step * bags.back(slope)
         new = np.where(used, np.sign(new) * np.maximum(np.abs(new) - step * PENALTY, 0), 0)
         new_b = ahead_b - 0.05 * step * slope.sum()
@@ -76,6 +79,7 @@ def fit_weights(texts: list[pa.Array], toxic: np.ndarray) -> tuple[np.ndarray, f
         k = (pace - 1) / next_pace
         ahead, ahead_b, pace = new + k * (new - w), new_b + k * (new_b - b), next_pace
         w, b = new, new_b
+    _, w, b = min(best, (loss_and_slope(w, b)[0], w, b), key=lambda x: x[0])
     return w, b
 
 
