@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from tillwork.params import ONLINE_SHOP, Params
+from tillwork.params import ONLINE_SHOP, TIME_FORMATS, Params
 from tillwork.plans.reports import REPORTS, write_reports
 from tillwork.plans.stages import from_exports
 
@@ -17,6 +17,7 @@ def main() -> None:
     ap.add_argument("second", help="newer part: file or folder")
     ap.add_argument("out", help="shared folder for tables and reports")
     ap.add_argument("--format", default="csv", choices=("csv", "parquet"))
+    ap.add_argument("--time-format", nargs="*", default=TIME_FORMATS, help="patterns of the invoice date, tried in turn")
     ap.add_argument("--reports", nargs="*", default=list(REPORTS), choices=list(REPORTS))
     ap.add_argument("--home-country", default=ONLINE_SHOP.home_country)
     ap.add_argument("--years", nargs=2, type=int, default=ONLINE_SHOP.years)
@@ -25,7 +26,8 @@ def main() -> None:
     a = ap.parse_args()
     spark = SparkSession.builder.appName("tillwork").getOrCreate()
     params = Params(a.home_country, tuple(a.years), a.year_cutoff, a.forecast_cut)
-    s = from_exports(spark, {"first": a.first, "second": a.second}, params, a.format, f"{a.out}/tables")
+    s = from_exports(spark, {"first": a.first, "second": a.second}, params, a.format, f"{a.out}/tables",
+                     tuple(a.time_format))
     write_reports(s, f"{a.out}/reports", a.reports)
 
 

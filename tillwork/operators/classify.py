@@ -35,7 +35,7 @@ def _hash_cuts(df: DataFrame, label: str, key: str, seed: int,
     found = order_statistics(hashed, ["_hash"], cuts, by=[label])
     edges = found.groupBy(label).agg(*[
         F.max(F.when(F.col("rank_name") == c, F.col("value"))).alias(f"_{c}") for c in cuts])
-    return hashed.join(edges, label, "left")
+    return hashed.join(F.broadcast(edges), label, "left")  # one row per class
 
 
 def stratified_split(df: DataFrame, label: str = "premium", key: str = "customer_id",

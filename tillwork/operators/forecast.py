@@ -174,6 +174,8 @@ class Forest:
                 if sum(used_weights) < trees:
                     used.append(F.col(f"_m{i}") * w)
                     used_weights.append(w)
+            if sum(used_weights) != trees:
+                raise ValueError(f"a forest of members {weights} holds no {trees} trees")
             out = out.withColumn(name, sum(used[1:], used[0]) / sum(used_weights))
         return out.drop("features", *[f"_m{i}" for i in range(len(self.members))])
 

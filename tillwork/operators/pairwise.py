@@ -58,7 +58,7 @@ def silhouettes(points: DataFrame, labels: Sequence[str], key: str = "customer_i
     """Mean Euclidean silhouette of several labelings of the same points, in one pass.
 
     Distances are computed once; each labeling only adds a small matrix product. A
-    labeling with a single group has none. Labels must count up from 0.
+    labeling with a single group has none. Labels are numbers from 0 on; gaps are empty groups.
     """
     packed = points.select(key, "x", F.array(*[F.col(c).cast("int") for c in labels]).alias("labels"))
     sizes = _cluster_sizes(packed, len(labels))
@@ -92,18 +92,18 @@ def _cluster_sizes(packed: DataFrame, labelings: int) -> list[list[int]]:
     out = [dict() for _ in range(labelings)]
     for r in rows:
         out[r.labeling][r.cluster] = r.n
-    return [[d[c] for c in range(len(d))] for d in out]
+    return [[d.get(c, 0) for c in range(max(d) + 1)] for d in out]
 
 
 def _mean_silhouette(labeling: int, sizes: list[int], offset: int) -> Column:
-    if len(sizes) < 2:
+    if sum(n > 0 for n in sizes) < 2:
         return F.lit(None).cast("double")
     own = F.col("labels")[labeling]
     size = F.array(*[F.lit(s) for s in sizes])
     near = F.try_divide(F.col("sums")[own + offset], size[own] - 1)
     to_others = F.transform(
         F.sequence(F.lit(0), F.lit(len(sizes) - 1)),
-        lambda c: F.when(c != own, F.get("sums", c + offset) / F.get(size, c)))
+        lambda c: F.when((c != own) & (F.get(size, c) > 0), F.get("sums", c + offset) / F.get(size, c)))
     far = F.array_min(to_others)
     width = F.try_divide(far - near, F.greatest(near, far))
     return F.avg(F.when(size[own] == 1, 0.0).otherwise(F.coalesce(width, F.lit(0.0))))

@@ -58,7 +58,7 @@ RAW_SCHEMA = T.StructType([
     T.StructField("country", T.StringType()),
 ])
 
-# The same table as the shop exports it: names with capitals and a blank.
+# The same table as the shop exports it: names with capitals and a blank.
 EXPORT_NAMES = {
     "Invoice": "invoice", "StockCode": "stock_code", "Description": "description",
     "Quantity": "quantity", "InvoiceDate": "invoice_ts", "Price": "price",
@@ -69,6 +69,11 @@ EXPORT_SCHEMA = T.StructType([
     T.StructField(name, RAW_SCHEMA[new].dataType) for name, new in EXPORT_NAMES.items()])
 
 
+# Cells a line cannot do without, and how exports write times.
+REQUIRED = ("quantity", "invoice_ts", "price")
+TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm")
+
+
 @dataclass(frozen=True)
 class Params:
     """What differs between one data set and another."""
@@ -79,5 +84,6 @@ class Params:
     forecast_cut: str           # first test day
 
 
+# The data set the reports were made for.
 ONLINE_SHOP = Params("United Kingdom", (2010, 2011), "2011-12-01", "2011-09-01")
 TEST_TABLES = Params("NATION_0", (1999, 2000), "2000-12-01", "2001-01-01")

@@ -204,7 +204,19 @@ SELECT part, count(*) AS rows, min(invoice_ts) AS first_ts, max(invoice_ts) AS l
     "overlap_report": f"""WITH {_RAW}, june AS MATERIALIZED (SELECT * FROM raw WHERE invoice_ts >= (
     SELECT min(invoice_ts) FROM raw WHERE invoice_ts >= '1998-06-01') AND invoice_ts < '1998-07-01')
 SELECT count(*) AS rows_first, count(*) AS rows_second, count(*) AS identical_rows,
-       CAST(0 AS BIGINT) AS only_first, CAST(0 AS BIGINT) AS only_second FROM june""",
+       CAST(0 AS BIGINT) AS only_first, CAST(0 AS BIGINT) AS only_second,
+       min(invoice_ts) AS range_start, max(invoice_ts) AS range_end FROM june""",
+    "load_reconciliation": f"""WITH {_RAW},
+lines AS (SELECT *, rid // 10 AS line, rid // 10 % 97 <> 0 AND rid // 10 % 89 <> 1 AND rid // 10 % 83 <> 2 AS good FROM raw),
+placed AS (SELECT *, unnest(CASE WHEN invoice_ts < '1998-06-01' THEN ['part_1'] WHEN invoice_ts < '1998-07-01'
+           THEN ['part_1', 'part_2'] ELSE ['part_2'] END) AS part FROM lines),
+cut AS (SELECT min(invoice_ts) AS start FROM placed WHERE part = 'part_2' AND good)
+SELECT part, count(*) AS delivered, count(*) FILTER (NOT good) AS rejected,
+       count(*) FILTER (good AND part = 'part_1' AND invoice_ts >= start) AS overlap,
+       count(*) FILTER (good AND NOT (part = 'part_1' AND invoice_ts >= start)) AS loaded,
+       count(*) FILTER (line % 5 = 3) AS quoted, count(*) AS row_ids,
+       CAST(sum(CASE WHEN line % 97 <> 0 THEN quantity END) AS BIGINT) AS units
+FROM placed, cut GROUP BY part""",
     "merged_sales": f"WITH {_RAW} SELECT {_BUSINESS} FROM raw",
     "typed_export": f"WITH {_RAW} SELECT {_BUSINESS} FROM raw",
     "raw_headline": f"""WITH {_RAW} SELECT count(*) AS rows, CAST(8 AS INTEGER) AS columns,

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwork.operators import clean, customers, forecast, products
-from tillwork.params import EXPORT_SCHEMA, ONLINE_SHOP, TEST_TABLES, Params
+from tillwork.params import ONLINE_SHOP, TEST_TABLES, TIME_FORMATS, Params
 from tillwork.session import shared_folder
 from tillwork.sources.parts import (
-    assert_overlap_identical, read_parts, union_parts, with_row_ids, with_types,
+    assert_overlap_identical, read_parts, union_parts,
 )
+from tillwork.sources import load
 from tillwork.sources.sinks import write_table
 from tillwork.sources.test_view import dirty_sales
 
@@ -71,7 +72,9 @@ class Stages:
         def build():
             first, second = self.parts().values()
             assert_overlap_identical(first, second)
-            return union_parts(first, second)
+            joined = union_parts(first, second)
+            load.assert_nothing_lost(first, second, joined)
+            return joined
 
         return self.stage("raw", build)
 
@@ -119,14 +122,25 @@ def from_test_tables(spark: SparkSession, sf_dir: str) -> Stages:
     return Stages(spark, sf_dir, deliver, TEST_TABLES)
 
 
+def delivery(s: Stages, name: str, path: str, number: int, fmt: str = "csv",
+             formats: Sequence[str] = TIME_FORMATS) -> DataFrame:
+    """All rows of a delivered part, numbered, good ones and rejected ones.
+
+    The scan is written at once: places in the delivery must not change later.
+    """
+    found = s.stage(f"{name}_scan", lambda: load.checked(load.scan_export(s.spark, path, fmt), formats))
+    return s.stage(f"{name}_rows", lambda: load.with_delivery_ids(found, number))
+
+
 def from_exports(spark: SparkSession, parts: dict[str, str], params: Params = ONLINE_SHOP,
-                 fmt: str = "csv", folder: str | None = None) -> Stages:
-    """Stages over two exported parts (headers as the shop writes them), oldest first."""
+                 fmt: str = "csv", folder: str | None = None, formats: Sequence[str] = TIME_FORMATS) -> Stages:
+    """Stages over two exported parts (headers as the shop writes them), oldest first.
+
+    Rows that cannot be read stay in ``part_<i>_rows`` with their reason.
+    """
     def deliver(s: Stages) -> dict[str, DataFrame]:
-        found = read_parts(spark, parts, EXPORT_SCHEMA, fmt)
-        # Numbered on the scan and written at once: the numbers must not change later.
-        return {name: s.stage(f"part_{i}", lambda df=df, i=i: with_types(with_row_ids(df, i)))
-                for i, (name, df) in enumerate(found.items())}
+        return {name: load.good_rows(delivery(s, f"part_{i}", path, i, fmt, formats))
+                for i, (name, path) in enumerate(parts.items())}
 
     return Stages(spark, str(sorted(parts.items())), deliver, params, folder)
 

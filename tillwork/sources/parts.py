@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,28 +31,16 @@ def with_types(df: DataFrame) -> DataFrame:
     return df.withColumns({**casts, **ts})
 
 
-def with_row_ids(df: DataFrame, part_number: int = 0) -> DataFrame:
-    """Number the rows of a file scan in reading order, without a shuffle.
+def with_file_order(df: DataFrame, name: str = "rid") -> DataFrame:
+    """Position of each Parquet row in its file, files in order of their whole path.
 
-    Call it on the scan itself and write the result before any shuffle, so that the
-    numbers are fixed from then on. The part number takes the highest bits.
+    Files are numbered from a table of one row per file; the driver holds no list of them.
     """
-    return df.withColumn(
-        "rid", F.monotonically_increasing_id() + F.lit(part_number << 56).cast("bigint"))
-
-
-def with_file_order(df: DataFrame, name: str = "rid") -> DataFrame:
-    """Position of each Parquet row in its file, files in path order; no shuffle."""
-    files = sorted(df.inputFiles())
-    row = F.col("_metadata.row_index")
-    if len(files) <= 1:
-        return df.select("*", row.alias(name))
-    spark = df.sparkSession
-    numbers = spark.createDataFrame(
-        [(path.rsplit("/", 1)[-1], i) for i, path in enumerate(files)],
-        "_file string, _file_no bigint")
+    path = F.col("_metadata.file_path")
+    numbers = df.select(path.alias("_file")).distinct().select(
+        "_file", (F.row_number().over(W.orderBy("_file")) - 1).cast("bigint").alias("_file_no"))
     return (
-        df.select("*", row.alias("_row"), F.col("_metadata.file_name").alias("_file"))
+        df.select("*", F.col("_metadata.row_index").alias("_row"), path.alias("_file"))
         .join(numbers, "_file")
         .withColumn(name, F.shiftleft("_file_no", 40) + F.col("_row"))
         .drop("_file", "_file_no", "_row")
@@ -76,6 +65,7 @@ def part_profile(parts: dict[str, DataFrame], ts: str = "invoice_ts") -> DataFra
 
 
 def _common_range(first: DataFrame, second: DataFrame, ts: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of both parts between the start of the second and the end of the first; rows without a time are in neither."""
     start = second.agg(F.min(ts)).scalar()
     end = first.agg(F.max(ts)).scalar()
     return first.where(F.col(ts) >= start), second.where(F.col(ts) <= end)
@@ -87,7 +77,8 @@ def overlap_report(first: DataFrame, second: DataFrame, ts: str = "invoice_ts",
 
     Both sides are counted per distinct row in one grouped pass, so identical copies
     collapse before the shuffle and no join is needed. ``identical_rows`` counts rows of
-    the first part that exist in the second; ``only_*`` are the multiset differences.
+    the first part that exist in the second; ``only_*`` are the multiset differences;
+    ``range_start`` and ``range_end`` the first and last instant both parts cover.
     """
     left, right = _common_range(first, second, ts)
     counted = (
@@ -103,6 +94,7 @@ def overlap_report(first: DataFrame, second: DataFrame, ts: str = "invoice_ts",
         total(F.when(F.col("n2") > 0, F.col("n1"))).alias("identical_rows"),
         total(F.greatest(F.col("n1") - F.col("n2"), F.lit(0))).alias("only_first"),
         total(F.greatest(F.col("n2") - F.col("n1"), F.lit(0))).alias("only_second"),
+        F.min(ts).alias("range_start"), F.max(ts).alias("range_end"),
     )
 
 
@@ -117,6 +109,10 @@ def assert_overlap_identical(first: DataFrame, second: DataFrame,
 
 
 def union_parts(first: DataFrame, second: DataFrame, ts: str = "invoice_ts") -> DataFrame:
-    """Cut the first part where the second starts, then append the second."""
+    """Cut the first part where the second starts, then append the second.
+
+    A row without a time is no part of the overlap and stays; without any time in the second
+    part there is no overlap at all.
+    """
     start = second.agg(F.min(ts)).scalar()
-    return first.where(F.col(ts) < start).unionByName(second)
+    return first.where(F.coalesce(F.col(ts) < start, F.lit(True))).unionByName(second)

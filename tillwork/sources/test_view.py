@@ -52,3 +52,18 @@ def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
             "n_name AS country",
         )
     )
+
+
+def planted_export(sales: DataFrame) -> DataFrame:
+    """The lines as an export would write them, all text, with cells that cannot be read or are missing."""
+    line = F.expr("rid div 10")
+    return sales.select(
+        F.col("invoice").alias("Invoice"), F.col("stock_code").alias("StockCode"),
+        F.when(line % 5 == 3, F.concat(F.lit('SET OF "6", '), F.coalesce("description", F.lit("x"))))
+        .otherwise(F.col("description")).alias("Description"),
+        F.when(line % 97 == 0, "1 000").otherwise(F.col("quantity").cast("string")).alias("Quantity"),
+        F.when(line % 89 == 1, "31.31.1998").when(line % 83 == 2, F.lit(None))
+        .otherwise(F.date_format("invoice_ts", "yyyy-MM-dd HH:mm:ss")).alias("InvoiceDate"),
+        F.col("price").cast("string").alias("Price"),
+        F.when(line % 2 == 0, F.concat(F.col("customer_id").cast("string"), F.lit(".0")))
+        .otherwise(F.col("customer_id").cast("string")).alias("Customer ID"), F.col("country").alias("Country"))
