@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import functions as F
 
 from tillwork.operators import classify, forecast, meanshift, pairwise, scaling, segment
@@ -138,13 +139,22 @@ def _reference_mean_shift(xs, h):
 def test_mean_shift(cloud):
     df, xs, _ = cloud
     bandwidths = {0.1: 1.1, 0.2: 2.4}
-    labelled, columns = meanshift.mean_shift(df, bandwidths)
+    labelled, columns, unsettled = meanshift.mean_shift(df, bandwidths)
+    assert unsettled == {0.1: 0, 0.2: 0}
+    assert sum(meanshift.mean_shift(df, bandwidths, 0)[2].values()) > 0
     got = labelled.orderBy("customer_id").toPandas()
     for q, h in bandwidths.items():
         assert got[columns[q]].tolist() == _reference_mean_shift(xs, h).tolist()
     assert got["ms_1"].nunique() == 3
 
 
+def test_silhouettes_take_gaps_between_labels(cloud):
+    df, _, _ = cloud
+    gaps = df.withColumn("wide", F.col("blob") * 2 + 1)
+    got = pairwise.silhouettes(gaps, ["blob", "wide"])
+    assert got["wide"] == pytest.approx(got["blob"])
+
+
 def test_kmeans_sweep_and_relabel(cloud):
     df, xs, _ = cloud
     models = segment.kmeans_best(segment.with_vector(df), [2, 3, 4], 3)
@@ -154,7 +164,10 @@ def test_kmeans_sweep_and_relabel(cloud):
     assert out.groupBy("blob").agg(F.countDistinct("km_3").alias("n")).where("n > 1").count() == 0
     renamed = segment.relabel_by_median(out, "km_3").groupBy("km_3").agg(F.first("blob").alias("b")).collect()
     assert {r.km_3: r.b for r in renamed} == {0: 2, 1: 1, 2: 0}
-    assert segment.squared_silhouette(out, "km_3") > 0.8
+    found = segment.squared_silhouettes(out.withColumn("gap", F.col("km_3") * 2).withColumn("one", F.lit(4)), ["km_3", "gap", "one"])
+    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="km_3", metricName="silhouette")
+    assert found["km_3"] == pytest.approx(evaluator.evaluate(segment.with_vector(out)), abs=1e-9) and found["km_3"] > 0.8
+    assert found["gap"] == pytest.approx(found["km_3"]) and found["one"] is None
 
 
 def test_standardise(spark):
