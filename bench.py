@@ -35,7 +35,7 @@ def main() -> None:
         fn()
         seconds[name] = round(time.perf_counter() - start, 3)
 
-    for stage in ("parts", "raw", "audited", "products", "activity", "customers", "daily"):
+    for stage in ("parts", "raw", "audited", "clean", "products", "activity", "customers", "daily"):
         timed(f"stage_{stage}", getattr(tables, stage))
     names = HEADLINE + (MODELS if os.environ.get("BENCH_MODELS", "1") == "1" else ())
     for name in names:

@@ -31,7 +31,9 @@ def _hash_cuts(df: DataFrame, label: str, key: str, seed: int,
     Comparing with the hash at a rank splits a class into exact counts. Sorting a class
     by a window would put it in one task, and there are only two classes.
     """
-    hashed = df.withColumn("_hash", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 53)))
+    # Leading hexadecimal digits of a common hash, so that any engine can repeat the split.
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 13)
+    hashed = df.withColumn("_hash", F.conv(digits, 16, 10).cast("bigint"))
     found = order_statistics(hashed, ["_hash"], cuts, by=[label])
     edges = found.groupBy(label).agg(*[
         F.max(F.when(F.col("rank_name") == c, F.col("value"))).alias(f"_{c}") for c in cuts])

@@ -386,6 +386,13 @@ SELECT * REPLACE (round(lines_per_invoice, 6) AS lines_per_invoice) FROM custome
 one AS (SELECT CAST(sum(n - t) AS BIGINT) AS train_rows, CAST(sum(t) AS BIGINT) AS test_rows,
         sum(t) FILTER (WHERE premium = 1) / CAST(sum(t) AS DOUBLE) AS share FROM per_class)
 SELECT train_rows, test_rows, round(share * 100, 6) AS pct_premium_test, round((1 - share) * 100, 6) AS pct_majority FROM one""",
+    "stratified_split": f"""WITH {_CUSTOMERS}, ranked AS (
+  SELECT customer_id, premium, row_number() OVER (PARTITION BY premium ORDER BY substr(md5('42|' || customer_id), 1, 13)) AS place,
+         count(*) OVER (PARTITION BY premium) AS n FROM customers)
+SELECT customer_id, premium, place <= round_even(n * 0.2, 0) AS in_test FROM ranked""",
+    "linear_normal_equations": """SELECT unnest(['intercept', 'weekday_1', 'weekday_2', 'weekday_3', 'weekday_4', 'weekday_5', 'weekday_6',
+  'month_2', 'month_3', 'month_4', 'month_5', 'month_6', 'month_7', 'month_8', 'month_9', 'month_10', 'month_11', 'month_12']) AS indicator,
+  0.0::DOUBLE AS residual_sum""",
     "rule_confusion": f"""WITH {_RULE}, zero_one AS (SELECT CAST(unnest([0, 1]) AS INTEGER) AS v)
 SELECT a.v AS actual, p.v AS predicted, count(scored.actual) AS n
 FROM zero_one a CROSS JOIN zero_one p LEFT JOIN scored ON scored.actual = a.v AND scored.predicted = p.v GROUP BY 1, 2""",

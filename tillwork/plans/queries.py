@@ -401,6 +401,17 @@ def calendar_dummies(s: Stages) -> DataFrame:
     return forecast.dummies(s.daily()).select("day", *forecast.DUMMY_COLUMNS)
 
 
+def linear_normal_equations(s: Stages) -> DataFrame:
+    """Residuals of the least-squares fit summed over each indicator's training days: zero at the solution."""
+    train, _ = forecast.temporal_split(s.daily(), s.params.forecast_cut)
+    fitted = forecast.predict_linear(forecast.fit_linear(train), train)
+    left = forecast.dummies(fitted).withColumn("_left", F.col("revenue") - F.col("prediction")).withColumn("intercept", F.lit(1))
+    names = ["intercept", *forecast.DUMMY_COLUMNS]
+    sums = left.agg(*[F.sum(F.col(c) * F.col("_left")).alias(c) for c in names])
+    return sums.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("indicator"), F.abs(F.round(c, 2)).alias("residual_sum")) for c in names])).alias("_r")).select("_r.*")
+
+
 def seasonal_naive(s: Stages) -> DataFrame:
     return rounded(forecast.seasonal_naive(s.daily(), s.params.forecast_cut), prediction=6)
 
@@ -534,7 +545,7 @@ ALL = (
     premium_threshold, label_summary, class_profile, split_summary, rule_metrics, rule_confusion,
     log_skew, standardized_rfm, rule_segment_profile, rule_segment_relabel, rule_segment_crosstab,
     rule_segment_sizes, rule_silhouette, bandwidth_estimates, daily_sales, daily_headline, daily_describe,
-    temporal_split, calendar_dummies, seasonal_naive, seasonal_naive_metrics, seasonal_naive_monthly,
+    temporal_split, calendar_dummies, linear_normal_equations, seasonal_naive, seasonal_naive_metrics, seasonal_naive_monthly,
     stratified_split, logistic_leaderboard, tree_leaderboard, tuning_gain, classifier_metrics,
     classifier_confusion, feature_importance, tree_rules, kmeans_sweep, mean_shift_sweep, segment_compare,
     customer_segments, kmeans_profile, mean_shift_profile, segment_crosstab, daily_forecast,

@@ -88,8 +88,8 @@ class Stages:
         return self.stage("audited", lambda: clean.audit_sales(self.raw()), ["rule"], ["sales_month"])
 
     def clean(self) -> DataFrame:
-        """Kept lines; reading them touches only the directory of the kept rule."""
-        return clean.clean_sales(self.audited())
+        """The clean table: kept lines with trimmed description and revenue, lines of a month together."""
+        return self.stage("clean", lambda: clean.clean_sales(self.audited()), cluster_by=["sales_month"])
 
     def products(self) -> DataFrame:
         return self.stage("products", lambda: products.product_dim(self.clean()))
