@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
@@ -19,7 +19,7 @@ from tillwork.params import (
 )
 from tillwork.session import shared_folder
 
-TREE_BINS = 256
+TREE_BINS = 256  # split candidates come from a sample of rows once there are more than bins squared
 
 
 # Splits ---------------------------------------------------------------------------------
@@ -113,14 +113,6 @@ def classification_metrics(scored: DataFrame, label: str = "premium",
         together.select(F.explode("rows").alias("x")).select("x.*"))
 
 
-def f1_positive(scored: DataFrame, label: str = "premium") -> float:
-    row = scored.agg(
-        F.count_if((F.col(label) == 1) & (F.col("prediction") == 1)).alias("hits"),
-        F.count_if(F.col(label) == 1).alias("actual"),
-        F.count_if(F.col("prediction") == 1).alias("named")).first()
-    return 2 * row.hits / (row.actual + row.named) if row.actual + row.named else 0.0
-
-
 # Models ---------------------------------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -140,9 +132,19 @@ LOGISTIC_GRID = [LogisticSetting(c, w) for c in LOGISTIC_C for w in CLASS_WEIGHT
 TREE_GRID = [TreeSetting(d, m, w) for w in CLASS_WEIGHT for d in TREE_DEPTH for m in TREE_MIN_LEAF]
 
 
+def assembled(df: DataFrame, scaler: Scaler) -> DataFrame:
+    """Add the vectors the models read: ``plain`` and ``scaled`` predictors."""
+    scaled = VectorAssembler(inputCols=[f"z_{c}" for c in PREDICTORS], outputCol="scaled").transform(scaler.transform(df))
+    return VectorAssembler(inputCols=list(PREDICTORS), outputCol="plain").transform(scaled).select(
+        *df.columns, "plain", "scaled")
+
+
 @dataclass(frozen=True)
 class TrainingSet:
-    """Rows to fit on, with what the fits need to know about them."""
+    """Rows to fit on, with vectors and class weights worked out once for all fits.
+
+    Weight columns: ``w_None`` is 1, ``w_balanced`` n / (2 * size of the row's class).
+    """
 
     rows: DataFrame
     size: int
@@ -151,59 +153,60 @@ class TrainingSet:
 
     @classmethod
     def of(cls, rows: DataFrame, label: str = "premium") -> TrainingSet:
+        """Counts, scaler and the assembled rows, held until ``release``."""
         n = rows.agg(F.count("*").alias("n"), F.sum(label).alias("p")).first()
-        return cls(rows, n.n, n.p, Scaler.fit(rows, PREDICTORS))
+        if not n.p or n.p == n.n:
+            raise ValueError(f"{n.n} training rows of which {n.p or 0} are positive: a fit needs both classes")
+        scaler = Scaler.fit(rows, PREDICTORS)
+        balanced = F.when(F.col(label) == 1, n.n / (2.0 * n.p)).otherwise(n.n / (2.0 * (n.n - n.p)))
+        ready = assembled(rows, scaler).select(
+            label, "plain", "scaled", F.lit(1.0).alias("w_None"), balanced.alias("w_balanced"))
+        return cls(ready.persist(), n.n, n.p, scaler)
+
+    def release(self) -> None:
+        self.rows.unpersist()
 
-    def weighted(self, class_weight: str) -> DataFrame:
-        """Column ``w``: 1, or n / (2 * size of the row's class) so that classes balance."""
-        if class_weight == "balanced":
-            w = F.when(F.col("premium") == 1, self.size / (2.0 * self.positives)).otherwise(
-                self.size / (2.0 * (self.size - self.positives)))
-        else:
-            w = F.lit(1.0)
-        return self.rows.withColumn("w", w)
+
+class _Classifier:
+    """A fitted model and the vector it reads."""
+
+    features = "plain"
+
+    def named(self, column: str):
+        """The fitted model, writing its prediction to one column and nothing else."""
+        return self.fitted.setPredictionCol(column).setRawPredictionCol("").setProbabilityCol("")
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        scored = self.named("prediction").transform(assembled(df, self.scaler))
+        return scored.select(*df.columns, F.col("prediction").cast("int").alias("prediction"))
 
 
-class LogisticModel:
+class LogisticModel(_Classifier):
     """L2 logistic regression on standardised predictors."""
 
+    features = "scaled"
+
     def __init__(self, train: TrainingSet, setting: LogisticSetting):
         self.scaler = train.scaler
         # The penalty of C-form regression: C weighs the summed loss, MLlib averages it.
         penalty = 1.0 / (setting.c * train.size)
         self.fitted = LogisticRegression(
-            labelCol="premium", weightCol="w", regParam=penalty, elasticNetParam=0.0,
-            standardization=False, maxIter=1000, tol=1e-6,
-        ).fit(self._assemble(train.weighted(setting.class_weight)))
-
-    def _assemble(self, df: DataFrame) -> DataFrame:
-        return VectorAssembler(inputCols=[f"z_{c}" for c in PREDICTORS], outputCol="features").transform(
-            self.scaler.transform(df))
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        scored = self.fitted.transform(self._assemble(df))
-        return scored.select(*df.columns, F.col("prediction").cast("int").alias("prediction"))
+            featuresCol=self.features, labelCol="premium", weightCol=f"w_{setting.class_weight}", regParam=penalty,
+            elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-6).fit(train.rows)
 
     def weights(self) -> dict[str, float]:
         return dict(zip(PREDICTORS, map(float, self.fitted.coefficients)))
 
 
-class TreeModel:
+class TreeModel(_Classifier):
     """One decision tree on the plain predictors."""
 
     def __init__(self, train: TrainingSet, setting: TreeSetting):
+        self.scaler = train.scaler
         self.fitted = DecisionTreeClassifier(
-            labelCol="premium", weightCol="w", impurity="gini", maxBins=TREE_BINS, seed=SEED,
-            maxDepth=setting.max_depth, minInstancesPerNode=setting.min_leaf, maxMemoryInMB=1024,
-        ).fit(self._assemble(train.weighted(setting.class_weight)))
-
-    @staticmethod
-    def _assemble(df: DataFrame) -> DataFrame:
-        return VectorAssembler(inputCols=list(PREDICTORS), outputCol="features").transform(df)
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        scored = self.fitted.transform(self._assemble(df))
-        return scored.select(*df.columns, F.col("prediction").cast("int").alias("prediction"))
+            featuresCol=self.features, labelCol="premium", weightCol=f"w_{setting.class_weight}", impurity="gini",
+            maxBins=TREE_BINS, seed=SEED, maxDepth=setting.max_depth, minInstancesPerNode=setting.min_leaf,
+            maxMemoryInMB=1024).fit(train.rows)
 
     def importances(self) -> dict[str, float]:
         return dict(zip(PREDICTORS, map(float, self.fitted.featureImportances.toArray())))
@@ -231,16 +234,31 @@ def make_folds(train: DataFrame, folds: int = FOLDS) -> list[tuple[TrainingSet,
             for i in range(folds)]
 
 
+def f1_scores(models: Sequence[_Classifier], held_out: DataFrame, scaler: Scaler, label: str = "premium") -> list[float]:
+    """Positive F1 of many models on the same rows, in one pass."""
+    scored = assembled(held_out.select(label, *PREDICTORS), scaler)
+    for i, m in enumerate(models):
+        scored = m.named(f"p{i}").transform(scored)
+    yes = F.col(label) == 1
+    row = scored.agg(F.count_if(yes).alias("actual"), *[x for i in range(len(models)) for x in (
+        F.count_if(yes & (F.col(f"p{i}") == 1)).alias(f"hits{i}"), F.count_if(F.col(f"p{i}") == 1).alias(f"named{i}"))]).first()
+    return [2 * row[f"hits{i}"] / (row.actual + row[f"named{i}"]) if row.actual + row[f"named{i}"] else 0.0
+            for i in range(len(models))]
+
+
 def cross_validate(folds, settings: list, parallelism: int = 8) -> list[dict]:
-    """Mean and deviation of the positive F1 of every setting, best first."""
-    def one(task):
-        setting, (train, held_out) = task
-        return f1_positive(make_model(train, setting).predict(held_out))
+    """Mean and deviation of the positive F1 of every setting, best first.
 
-    scores = run_parallel(folds[0][1].sparkSession, one, [(s, f) for s in settings for f in folds], parallelism)
+    All fits run side by side; each fold's held-out rows are then scored by all its models at once.
+    """
+    spark = folds[0][1].sparkSession
+    tasks = [(s, train) for train, _ in folds for s in settings]
+    models = run_parallel(spark, lambda t: make_model(t[1], t[0]), tasks, parallelism)
+    by_fold = [models[i * len(settings):(i + 1) * len(settings)] for i in range(len(folds))]
+    scores = run_parallel(spark, lambda t: f1_scores(t[0], t[1][1], t[1][0].scaler), list(zip(by_fold, folds)), parallelism)
     rows = []
     for i, s in enumerate(settings):
-        mean, std = mean_and_std(scores[i * len(folds):(i + 1) * len(folds)])
+        mean, std = mean_and_std([fold[i] for fold in scores])
         rows.append({"setting": s, "f1_cv": mean, "f1_cv_std": std})
     return sorted(rows, key=lambda r: -r["f1_cv"])
 
@@ -290,6 +308,8 @@ def run_study(customers: DataFrame, parallelism: int = 8) -> Study:
     folds = make_folds(train)
     logistic_cv = cross_validate(folds, LOGISTIC_GRID, parallelism)
     tree_cv = cross_validate(folds, TREE_GRID, parallelism)
+    for held, _ in folds:
+        held.release()
     fit_on = TrainingSet.of(train)
     return Study(split, fit_on, test, logistic_cv, tree_cv,
                  LogisticModel(fit_on, logistic_cv[0]["setting"]), TreeModel(fit_on, tree_cv[0]["setting"]))
