@@ -151,3 +151,19 @@ def test_table_profile(spark):
     got = {r.column: (r.type, r.nulls, r.null_pct, r.distinct_values) for r in describe.table_profile(df).collect()}
     assert got == {"n": ("bigint", 1, 25.0, 2), "s": ("string", 1, 25.0, 1)}
     assert describe.table_profile(df, exact=False).count() == 2
+
+
+def test_no_window_gathers_a_crowded_bucket(spark):
+    """A million distinct values fall into two coarse buckets; what is ordered one by one stays short."""
+    from pyspark.sql import functions as F
+
+    from tillwork.operators import quantiles
+
+    df = spark.range(1_000_000).select((F.lit(1.6e9) + F.col("id")).alias("v"))
+    counts = quantiles.value_counts(df, ["v"])
+    assert counts.groupBy("bucket").count().agg(F.max("count")).first()[0] > 500_000
+    found = counts.select("column", "value", "n", F.lit("r").alias("rank_name"), F.lit(10**6).alias("total"), F.lit(123_456).alias("inner_rank"))
+    rows = quantiles._narrowed(found, ["column", "rank_name"]).collect()
+    assert len(rows) <= 1024 and 1.6e9 + 123_456 in {r.value for r in rows}
+    got = {r["prob"]: r["value"] for r in quantiles.exact_quantiles(df, ["v"], [0.25, 0.5]).collect()}
+    assert got == {0.25: 1.6e9 + 249_999.75, 0.5: 1.6e9 + 499_999.5}

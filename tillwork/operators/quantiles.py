@@ -6,7 +6,9 @@ counted first (copies collapse on the map side), then located through ordered bu
 1. ``value_counts``: distinct values with their counts, and a bucket number that grows
    with the value. At most ``2 * 1024 * 1025`` buckets exist, whatever the data.
 2. A running count over the buckets finds the few buckets that hold a wanted rank.
-3. Only the distinct values of those buckets are ordered one by one.
+3. These buckets are cut into equal parts of their own range, and only the part that holds
+   the rank is kept.
+4. Only the distinct values of those parts are ordered one by one.
 
 Everything is one lazy plan with deterministic expressions: no sampling, no driver
 round trip, and a recomputed task gives the same rows.
@@ -21,6 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKETS_PER_DOUBLING = 1024
+# A bucket above 1 holds at most 2 ** 42 different doubles, evenly spaced; a part of it at most 2 ** 22.
+PARTS = 1 << 20
 
 
 def order_bucket(value: Column) -> Column:
@@ -71,17 +75,40 @@ def order_statistics(df: DataFrame, cols: Sequence[str],
     # Null-safe on every key: a plain equality would let the optimizer filter nulls on
     # one side only, and the counts would be shuffled once per side instead of once.
     same = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in (*group, "bucket")]
+    found = counts.join(targets, same).select(*group, "value", "n", "rank_name", "total", "inner_rank")
+    found = _narrowed(found, [*group, "rank_name"])
     inside = W.partitionBy(*group, "rank_name").orderBy("value").rowsBetween(
         W.unboundedPreceding, W.currentRow)
     return (
-        counts.join(targets, same)
-        .withColumn("_until", F.sum("n").over(inside))
+        found.withColumn("_until", F.sum("n").over(inside))
         .where((F.col("inner_rank") < F.col("_until"))
                & (F.col("inner_rank") >= F.col("_until") - F.col("n")))
         .select(*group, "rank_name", "value", "total")
     )
 
 
+def _narrowed(found: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Of the values of each wanted rank's bucket, those of the part that holds the rank.
+
+    The bucket is cut into equal parts of its own range; values are summed per part before
+    any window, so a bucket may hold any number of values.
+    """
+    edges = found.groupBy(*group).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    renamed = edges.select(*[F.col(c).alias(f"e_{c}") for c in group], "_lo", "_hi")
+    same = [F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in group]
+    share = F.coalesce(F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    placed = found.join(renamed, same).withColumn("_part", F.floor(share * PARTS)).drop(
+        *[f"e_{c}" for c in group], "_lo", "_hi")
+    running = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)
+    parts = (
+        placed.groupBy(*group, "_part").agg(F.sum("n").alias("_n"), F.first("inner_rank").alias("_rank"))
+        .withColumn("_until", F.sum("_n").over(running)).withColumn("_start", F.col("_until") - F.col("_n"))
+        .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_until")))
+        .select(*[F.col(c).alias(f"p_{c}") for c in (*group, "_part")], "_start"))
+    same = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in (*group, "_part")]
+    return placed.join(parts, same).withColumn("inner_rank", F.col("inner_rank") - F.col("_start")).select(*found.columns)
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     by: Sequence[str] = ()) -> DataFrame:
     """Quantiles with linear interpolation: rows (by..., column, prob, value)."""
