@@ -38,16 +38,17 @@ def source_targets(sized: DataFrame, share: float, cap: float, weights: tuple[in
     weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
     sources = stash(by_source.withColumn("weight", weight), "sources")
     total = (sources.agg(F.sum("source_size")).first()[0] or 0) * share
-    level, stopped = 0.0, -1  # target of a weight of one
+    level, stopped = None, None  # target of a weight of one; how many sources are held at the cap
     while True:
-        over = F.col("weight") * level > F.col("source_size") * cap
-        row = sources.agg(F.sum(F.when(over, F.col("source_size"))).alias("full"), F.count(F.when(over, 1)).alias("n"),
+        over = F.lit(False) if level is None else F.col("weight") * level > F.col("source_size") * cap
+        row = sources.agg(F.sum(F.when(over, F.col("source_size"))).alias("full"), F.count_if(over).alias("n"),
                           F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
         if row["n"] == stopped or not row["weight"]:
             break
-        stopped = row["n"] if level else -1
+        if level is not None:
+            stopped = row["n"]
         level = (total - cap * (row["full"] or 0)) / row["weight"]
-    return sources.withColumn("target", F.least(F.col("source_size") * float(cap), F.col("weight") * float(level)))
+    return sources.withColumn("target", F.least(F.col("source_size") * float(cap), F.col("weight") * float(level or 0.0)))
 
 
 def tilts(sizes: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
