@@ -62,6 +62,19 @@ def test_recall_on_the_table(spark):
     assert len(got) == len(want)
 
 
+@pytest.mark.parametrize("sigma", [0.3, 0.5, 1.0])
+def test_recall_on_uneven_norms(spark, sigma):
+    """Long vectors far from the query are nearest by product."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 32))
+    x *= np.exp(sigma * rng.normal(size=(2000, 1))) / np.sqrt((x**2).sum(1, keepdims=True))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {(r.query_id, r.vec_id) for r in multiindex.search(as_table(spark, rows)).collect()}
+    want = plain(rows, 20, 20)
+    assert len(got) == len(want)
+    assert np.mean([(q, v) in got for q, _, v, _ in want]) >= 0.9
+
+
 def test_cells_come_in_order_of_distance():
     rng = np.random.default_rng(3)
     for _ in range(20):

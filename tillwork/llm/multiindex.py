@@ -1,9 +1,10 @@
 """Nearest neighbours with an inverted multi-index.
 
 Each half of a vector is quantised by a codebook of its own; an entry lies in the cell of its
-two centroids. For a query, cells are taken off a heap in order of the summed distance of the
-query's halves to the two centroids, until the cells hold ``probe`` of all entries. These
-entries are ranked by the inner product of the original vectors.
+two centroids. For a query, cells are taken off a heap by falling inner product: the sum over
+both halves of what the query's half and the centroid give, plus what entries spread around the
+centroid may add. It ends when the cells hold ``probe`` of all entries. These entries are ranked
+by the inner product of the original vectors, so long vectors count at any distance.
 
 Codebooks are fitted on a bounded sample; every entry is indexed. The share of entries to be
 probed, not a count, is the parameter: vectors without clusters need the same share at any size
@@ -26,6 +27,7 @@ from tillwork.llm.common import columns, stash
 SAMPLE = 20_000  # vectors on which the codebooks are fitted
 ENTRY_BLOCK, QUERY_BLOCK = 8192, 1024  # rows that meet in one task
 ROUNDS = 12
+REACH = 2.0  # deviations beyond the centroid, in the query's direction, that a cell is credited with
 SLACK = 1e-9  # products this close are compared again in one order of summation
 
 
@@ -67,9 +69,9 @@ def nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 
 def probed_cells(first: np.ndarray, second: np.ndarray, size: np.ndarray, wanted: int) -> np.ndarray:
-    """Cells in order of summed distance until they hold ``wanted`` entries: a mask over all cells.
+    """Cells in order of summed cost until they hold ``wanted`` entries: a mask over all cells.
 
-    ``first``, ``second``: the query's distances to the centroids of either half; ``size``:
+    ``first``, ``second``: the query's costs of the centroids of either half, least first; ``size``:
     entries of each cell. The multi-sequence walk: a pair is pushed when both pairs
     before it have been taken.
     """
@@ -139,13 +141,27 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, centroids: int = 32
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column("vector").to_pylist())).reshape(-1, dim)
-            cell = nearest(x[:, :half], books[0]) * width + nearest(x[:, half:], books[1])
-            yield batch.append_column("cell", pa.array(cell.astype(np.int32)))
+            halves = x[:, :half], x[:, half:]
+            own = [nearest(v, c) for v, c in zip(halves, books)]
+            off = [((v - c[o]) ** 2).sum(1) for v, c, o in zip(halves, books, own)]
+            yield pa.record_batch([*batch.columns, pa.array((own[0] * width + own[1]).astype(np.int32)), *map(pa.array, off)],
+                                  ["vec_id", "vector", "cell", "off_0", "off_1"])
 
-    coded = stash(valid.mapInArrow(assign, "vec_id long, vector binary, cell int"), "cells")
+    coded = stash(valid.mapInArrow(assign, "vec_id long, vector binary, cell int, off_0 double, off_1 double"), "cells")
     size = np.zeros(len(books[0]) * width, np.int64)  # as many numbers as there are cells
-    for r in coded.groupBy("cell").count().collect():
-        size[r["cell"]] = r["count"]
+    off = np.zeros((2, len(size)))
+    unit = float((x**2).sum(1).mean())
+    # sums of millionths of the sample's mean square are the same in any order of the rows
+    sums = [F.sum(F.round(F.least(F.col(c) / unit, F.lit(1e18)) * 1e6).cast("decimal(38,0)")).cast("double").alias(c)
+            for c in ("off_0", "off_1")]
+    for r in coded.groupBy("cell").agg(F.count("*").alias("n"), *sums).collect():
+        size[r["cell"]] = r["n"]
+        off[:, r["cell"]] = r["off_0"] * 1e-6 * unit, r["off_1"] * 1e-6 * unit
+    coded = coded.drop("off_0", "off_1")
+    grid, spread_of = size.reshape(-1, width), []
+    for side, (book, axis) in enumerate(zip(books, (1, 0))):
+        square = off[side].reshape(-1, width).sum(axis) / np.maximum(grid.sum(axis), 1)
+        spread_of.append(REACH * np.sqrt(square / max(1, book.shape[1])))
     total = int(size.sum())
     wanted = max(int(np.ceil(probe * total)), 2 * k + 1)
     first_block, part_of = _blocks(size)
@@ -163,10 +179,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, centroids: int = 32
     def as_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column("vector").to_pylist())).reshape(-1, dim)
-            far = [((v[:, None] - c[None]) ** 2).sum(2) for v, c in ((x[:, :half], books[0]), (x[:, half:], books[1]))]
+            cost = [-(v @ c.T + np.sqrt((v**2).sum(1))[:, None] * s)
+                    for v, c, s in zip((x[:, :half], x[:, half:]), books, spread_of)]
             row, at, masks = [], [], []
             for i in range(len(x)):
-                mask = probed_cells(far[0][i], far[1][i], size, wanted)
+                mask = probed_cells(cost[0][i], cost[1][i], size, wanted)
                 blocks = np.unique(np.concatenate([np.arange(first_block[c], first_block[c] + part_of[c])
                                                    for c in np.flatnonzero(mask & (size > 0))]))
                 row += [i] * len(blocks)
