@@ -54,6 +54,24 @@ def test_families_and_single_members(spark):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_score_does_not_shrink_with_the_number_of_classes(spark):
+    """Eight families, one of five languages, and five stray labels on texts of another language."""
+    langs = ["de", "en", "nl", "sv", "da", "fr", "ru", "hi", "tr", "fi", "ar", "zz"]
+    rows = [(i, " ".join(f"{lang}{w}{lang}" for w in ("a", "b", "c")) + f" word{i}", lang) for i, lang in enumerate(langs * 20)]
+    rows += [(300 + i, f"enaen enben encen word{i}", f"stray{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    clear = {i for i, _, lang in rows[:240] if lang != "en"}
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert np.mean([got[i].lang_pred == rows[i][2] and got[i].score > 0.8 for i in clear]) > 0.95
+    assert {r.doc_id for r in langid.in_a_language(docs).collect()} == {r[0] for r in rows}
+
+
+def test_without_labels_documents_with_a_letter_stay(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 !", None), (3, None, None), (4, "\u00e9", None)],
+                                 "doc_id long, text string, lang string")
+    assert {r.doc_id for r in langid.in_a_language(docs).collect()} == {1, 4}
+
+
 def test_language_of_awkward_rows(awkward, nothing):
     got = langid.identify(awkward).collect()
     assert len(got) == 12

@@ -88,7 +88,7 @@ class Model:
                 if family in duel or lang in duel]
 
     def _vote(self, margins: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each row, which of the names wins, and its share."""
+        """For each row, which of the names wins, and its mean share in its own duels: as high for two names as for many."""
         wins, share = np.zeros((len(margins), len(names))), np.zeros((len(margins), len(names)))
         for i, duel in enumerate(self.duels):
             if duel[0] in names and duel[1] in names:
@@ -99,7 +99,7 @@ class Model:
         if len(names) == 1:
             share += 1
         best = np.argmax(wins + share / (2 * len(names)), axis=1)
-        return best, np.take_along_axis(share, best[:, None], 1)[:, 0] / np.maximum(share.sum(1), 1e-12)
+        return best, np.take_along_axis(share, best[:, None], 1)[:, 0] / max(1, len(names) - 1)
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Language and share of each text."""
@@ -169,10 +169,17 @@ def identify(docs: DataFrame, buckets: int = 4, held_out: int = 2, per_language:
     not ``held_out``; nothing but text enters a prediction. A null text, or one without a
     letter, is ``und`` with score 0; without anything to learn from all are. A null id is not
     held out and not learned from; repeated rows each give a row. No rows give no rows.
+
+    ``score``: mean share of the family in its duels with the other families, times that of the
+    language in its duels within the family. Neither shrinks with the number of classes.
     """
     bucket = F.crc32(F.col("doc_id").cast("string")) % buckets
-    model = docs.sparkSession.sparkContext.broadcast(
-        fit(docs, bucket != held_out, per_language, families, id_col, text_col, lang_col))
+    model = fit(docs, bucket != held_out, per_language, families, id_col, text_col, lang_col)
+    return _predicted(docs, model, bucket == held_out, id_col, text_col, keep)
+
+
+def _predicted(docs: DataFrame, fitted: Model, held: Column, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
     more = [f"keep_{c}" for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,16 +191,24 @@ def identify(docs: DataFrame, buckets: int = 4, held_out: int = 2, per_language:
                                       ["doc_id", "held_out", "lang_pred", "score", *more])
 
     named = columns(docs, id_col, text_col, *keep).toDF("doc_id", "text", *more).withColumn(
-        "held_out", F.coalesce(bucket == held_out, F.lit(False)))
+        "held_out", F.coalesce(held, F.lit(False)))
     kinds = {f.name: f.dataType.simpleString() for f in named.schema}
     schema = f"doc_id {kinds['doc_id']}, held_out boolean, lang_pred string, score double"
     return named.mapInArrow(run, schema + "".join(f", `{c}` {kinds[c]}" for c in more))
 
 
-def in_a_language(docs: DataFrame, min_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text",
-                  lang_col: str = "lang", **settings) -> DataFrame:
-    """The documents, all columns, but those without a letter or with a score under ``min_score``."""
+def in_a_language(docs: DataFrame, min_score: float = 0.3, buckets: int = 4, held_out: int = 2,
+                  per_language: int = PER_LANGUAGE, families: dict[str, tuple[str, ...]] = FAMILIES,
+                  id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents, all columns, but those without a letter or with a score under ``min_score``.
+
+    Without anything to learn from no score is known, and only documents without a letter go.
+    """
+    bucket = F.crc32(F.col("doc_id").cast("string")) % buckets
+    model = fit(docs, bucket != held_out, per_language, families, id_col, text_col, lang_col)
+    if not model.families:
+        return docs.filter(docs[f"`{text_col}`"].rlike(r"\p{L}"))
     rest = tuple(c for c in docs.columns if c != id_col)
-    found = identify(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, keep=rest, **settings)
+    found = _predicted(docs, model, bucket == held_out, id_col, text_col, rest)
     found = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
     return found.select(*[F.col("doc_id" if c == id_col else f"`keep_{c}`").alias(c) for c in docs.columns])
