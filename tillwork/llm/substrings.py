@@ -1,12 +1,12 @@
-"""Removal of passages that an earlier document holds, by relative Lempel-Ziv parsing.
+"""Removal of passages that an earlier document holds, as factors of windows with one least owner.
 
 Every document is factored against all earlier documents. The corpus is cut into reference
 blocks; each block's sequences of ``window`` words are indexed, and the indexes of all blocks
 meet bucket by bucket, dealt by sequence hash, so that each block learns, for each of its
-sequences, the earliest document and place that holds it. The parse then goes through a
-document from left to right: a factor begins at a sequence that an earlier document holds,
-and goes on as long as the source goes on in step; at its boundary the next sequence is looked up
-again, also inside the factor, so that no sequence across a boundary is missed. Words under
+sequences, the earliest document and place that holds it. Every sequence that an earlier document
+holds is copied; a factor is a run of copied sequences whose earliest document and place go on in
+step. This is no greedy Lempel-Ziv parse: a factor also ends where the earliest document changes
+though its source goes on, so one long copy may give several overlapping factors. Words under
 factors are duplicates.
 
 Indexing every sequence would move more than the text. A first exchange moves seeds only: the
