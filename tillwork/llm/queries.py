@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwork.llm import (
-    alignment, langid, linequality, mixing, multiindex, oracles, ordinal, packing, simhash, substrings, tokens, toxicity,
+    alignment, conversations, langid, linequality, mixing, multiindex, oracles, ordinal, packing, simhash, substrings, tokens, toxicity,
 )
 from tillwork.llm.common import columns, table
 
@@ -69,11 +69,16 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(whole), every=columns(whole, "conv_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_toxicity, op3_inverted_multi_index, op4_quality_classifier, op5_language_id,
         op6_best_fit_packing, op7_source_mixing, op8_simhash_near_dedup, op9_token_counts, op10_line_quality,
-        op11_tokenizer_alignment)}
+        op11_tokenizer_alignment, op12_conversation_repair)}
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
