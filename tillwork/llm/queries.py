@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwork.llm import (
-    alignment, conversations, langid, linequality, mixing, multiindex, oracles, ordinal, packing, simhash, substrings, tokens, toxicity,
+    alignment, conversations, disclosure, langid, linequality, mixing, multiindex, oracles, ordinal, packing, simhash, substrings, tokens, toxicity,
 )
 from tillwork.llm.common import columns, table
 
@@ -74,13 +74,19 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(whole), every=columns(whole, "conv_id"))
 
 
+def op13_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.find(table(spark, sf_dir, "documents"), support=2)
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_toxicity, op3_inverted_multi_index, op4_quality_classifier, op5_language_id,
         op6_best_fit_packing, op7_source_mixing, op8_simhash_near_dedup, op9_token_counts, op10_line_quality,
-        op11_tokenizer_alignment, op12_conversation_repair)}
+        op11_tokenizer_alignment, op12_conversation_repair, op13_disclosure)}
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op10_line_quality": oracles.LINE_QUALITY,
+    "op13_disclosure": oracles.DISCLOSURE,
 }
