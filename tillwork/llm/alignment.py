@@ -25,7 +25,8 @@ from tillwork.llm.common import columns, stash
 from tillwork.llm.tokens import byte_letters
 from tillwork.llm.words import pieces
 
-SLICE_BYTES = 6 << 20  # of text aligned at once; a longer text is aligned alone
+SLICE_BYTES = 3 << 19  # of text aligned at once; a longer text is aligned alone
+KNOWN = 300_000  # words whose ids a worker remembers; then it begins anew
 ID_BITS = 20  # an id pair is one long: first id, then the second in this many bits
 # Both tokenizers end a token between a character that is no white space and a single space before another one.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -33,6 +34,9 @@ _SPACE = "▁"
 _ROW_STEP = 1 << 36  # beyond the bytes of any text
 
 
+_IDS = pa.list_(pa.int32())
+
+
 class Tokenizers:
     """Both encoders and the bytes of their tokens, opened in the process that uses them."""
 
@@ -54,13 +58,24 @@ class Tokenizers:
                       for i, n in enumerate(names)], pa.large_binary())]
         self.length_of = [pc.binary_length(b) for b in self.bytes_of]
 
-    def encode(self, words: list[str]) -> tuple[pa.Array, pa.Array]:
-        """Ids of words that begin with their space, by both; the second adds that space itself."""
-        kind = pa.list_(pa.int32())
-        ids = [[] for _ in words]
-        for i in range(0, len(words), 4096):
-            ids[i:i + 4096] = [e.ids for e in self.first.encode_batch_fast(words[i:i + 4096], add_special_tokens=False)]
-        return pa.array(ids, kind), pa.array(self.second.encode([w[1:] for w in words], num_threads=1), kind)
+        self.known, self.lists = {}, [pa.array([], _IDS)] * 2
+
+    def encode(self, words: list[str]) -> tuple[pa.Array, list[pa.Array]]:
+        """Places of words that begin with their space, and by both encoders the ids at each place.
+
+        The second encoder adds that space itself.
+        """
+        if len(self.known) > KNOWN:
+            self.known, self.lists = {}, [pa.array([], _IDS)] * 2
+        new = [w for w in words if w not in self.known]
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            for i in range(0, len(new), 8192):
+                part = new[i:i + 8192]
+                first = [e.ids for e in self.first.encode_batch_fast(part, add_special_tokens=False)]
+                second = self.second.encode([w[1:] for w in part], num_threads=1)
+                self.lists = [pa.concat_arrays([old, pa.array(more, _IDS)]) for old, more in zip(self.lists, (first, second))]
+        return pa.array([self.known[w] for w in words], pa.int64()), self.lists
 
 
 def _flat(lists: pa.Array, codes: pa.Array, row_of: pa.Array, length_of: pa.Array, n: int) -> pa.Table:
@@ -93,6 +108,10 @@ def _mark(text: str) -> pa.Scalar:
     return pa.scalar(text, pa.large_string())
 
 
+def _pair(first: pa.Array, second: pa.Array) -> np.ndarray:
+    return (np.asarray(first).astype(np.int64) << ID_BITS) + np.asarray(second)
+
+
 def _listed(tokens: pa.Table, group: np.ndarray, n: int) -> pa.Array:
     """Ids of each group as text, joined by commas."""
     first = pa.array(np.searchsorted(group, np.arange(n + 1)), pa.int32())
@@ -114,8 +133,9 @@ def align(texts: list[str], both: Tokenizers) -> tuple[pa.Table, pa.Table, list[
         first.append(len(words))
     row_of = pa.array(np.repeat(np.arange(n), np.diff(first)))
     coded = pa.array(words, pa.large_string()).dictionary_encode()
-    lists = both.encode(coded.dictionary.to_pylist())
-    sides = [_flat(x, coded.indices, row_of, of, n) for x, of in zip(lists, both.length_of)]
+    place, lists = both.encode(coded.dictionary.to_pylist())
+    codes = place.take(coded.indices)
+    sides = [_flat(x, codes, row_of, of, n) for x, of in zip(lists, both.length_of)]
     raw = [t.encode() for t in spaced]
     same = _same_bytes(sides[0], both.bytes_of[0], raw) & _same_bytes(sides[1], both.bytes_of[1], raw)
     if not same.all():
@@ -129,13 +149,16 @@ def align(texts: list[str], both: Tokenizers) -> tuple[pa.Table, pa.Table, list[
     text = pc.binary_join_element_wise(*[_listed(s, g, n_groups) for s, g in zip(sides, groups)], _mark("|"))
     of_row = np.searchsorted(row_of_group, np.arange(n + 1))
     text = pc.binary_join(pa.ListArray.from_arrays(pa.array(of_row, pa.int32()), text), _mark(";"))
-    counted = [pa.table({"group": g, name: s["id"]}).group_by(["group", name], use_threads=False)
-               .aggregate([([], "count_all")]).rename_columns(["group", name, f"n_{name}"])
-               for s, g, name in zip(sides, groups, "ab")]
-    linked = counted[0].join(counted[1], keys="group", join_type="inner", use_threads=False)
-    pair = pc.add(pc.shift_left(pc.cast(linked["a"], pa.int64()), ID_BITS), pc.cast(linked["b"], pa.int64()))
-    links = pa.table({"row": pa.array(row_of_group).take(linked["group"].combine_chunks()), "pair": pair,
-                      "times": pc.multiply(linked["n_a"], linked["n_b"])})
+    alone = np.bincount(groups[0], minlength=n_groups) * np.bincount(groups[1], minlength=n_groups) == 1
+    single = [s["id"].combine_chunks().filter(pa.array(alone[g])) for s, g in zip(sides, groups)]
+    rest = [pa.table({"group": g, name: s["id"]}).filter(pa.array(~alone[g])).group_by(["group", name], use_threads=False)
+            .aggregate([([], "count_all")]).rename_columns(["group", name, f"n_{name}"])
+            for s, g, name in zip(sides, groups, "ab")]
+    linked = rest[0].join(rest[1], keys="group", join_type="inner", use_threads=False)
+    pair = np.r_[_pair(*single), _pair(linked["a"], linked["b"])]
+    group = np.r_[np.flatnonzero(alone), np.asarray(linked["group"])]
+    times = np.r_[np.ones(len(single[0]), np.int64), np.asarray(pc.multiply(linked["n_a"], linked["n_b"]))]
+    links = pa.table({"row": row_of_group[group], "pair": pair, "times": times})
     links = links.group_by(["row", "pair"], use_threads=False).aggregate([("times", "sum")]).rename_columns(
         ["row", "pair", "times"]).sort_by([("row", "ascending"), ("pair", "ascending")])
     of_side = [np.bincount(np.asarray(s["row"]), minlength=n) for s in sides]
