@@ -22,7 +22,7 @@ def normal(line):
     return re.sub("[0-9]+", "0", " ".join(WORD.findall(line)).lower())
 
 
-def plain(rows, least, share, min_words):
+def plain(rows, least, min_words):
     docs, of_host = {}, {}
     for i, text, host in rows:
         of_host.setdefault(host, set()).add(i)
@@ -34,7 +34,7 @@ def plain(rows, least, share, min_words):
         m = measures(text)
         failed = m[0] < min_words or m[4] > 0.5 * m[0]
         gone = sum(len(WORD.findall(x)) for x in (text or "").split("\n") if WORD.search(x)
-                   and len(docs[host, normal(x)] - {None}) > max(least, share * len(of_host[host] - {None})))
+                   and len(docs[host, normal(x)] - {None}) > least)
         out.append((str(i), *m, failed, gone, not failed and m[0] - gone >= 0.5 * m[0]))
     return sorted(out)
 
@@ -59,14 +59,14 @@ def hosted():
 def test_matches_plain_counting(make_docs):
     rows = hosted()
     df = make_docs([(i, t, "en", h) for i, t, h in rows])
-    assert got(linequality.judge(df, least=5, share=0.1, min_words=4)) == plain(rows, 5, 0.1, 4)
-    kept = {r.doc_id: r for r in linequality.judge(df, least=5, share=0.1, min_words=4).collect()}
+    assert got(linequality.judge(df, least=5, min_left=0.5, min_words=4)) == plain(rows, 5, 4)
+    kept = {r.doc_id: r for r in linequality.judge(df, least=5, min_left=0.5, min_words=4).collect()}
     assert kept[1].kept and kept[1].n_line_words > 0 and not kept[60].kept
 
 
 def test_awkward_rows(awkward, nothing):
     rows = [(r.doc_id, r.text, r.source) for r in awkward.collect()]
-    assert got(linequality.judge(awkward, least=1, share=0.0, min_words=2)) == plain(rows, 1, 0.0, 2)
+    assert got(linequality.judge(awkward, least=1, min_left=0.5, min_words=2)) == plain(rows, 1, 2)
     assert linequality.judge(nothing).count() == 0
 
 
@@ -81,3 +81,21 @@ def test_long_repeats_and_wide_windows(spark):
 def test_plan_is_native(spark, make_docs):
     plan = linequality.judge(make_docs([(1, "a b")]))._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search("python|arrow|pandas", plan, re.I)
+
+
+def test_texts_without_frequent_lines(make_docs, awkward):
+    df = make_docs([(i, t, "en", h) for i, t, h in hosted()])
+    kept = {r.doc_id: r.text for r in linequality.without_frequent_lines(df, least=5).collect()}
+    judged = {r.doc_id: r for r in linequality.judge(df, least=5).collect()}
+    assert any(judged[i].n_line_words for i in kept)
+    assert all(len(t.split()) == judged[i].n_words - judged[i].n_line_words for i, t in kept.items())
+    same = linequality.without_frequent_lines(awkward, least=20).select("doc_id", "text").collect()
+    assert sorted(map(str, same)) == sorted(map(str, awkward.select("doc_id", "text").collect()))
+
+
+def test_the_limit_does_not_rise_with_the_host(make_docs):
+    small = [(i, f"the same line here\nown line {'abcdefghij'[i]}", "en", "h") for i in range(8)]
+    large = small + [(100 + i, f"nothing shared {i * 7 % 901} {'x' * i}", "en", "h") for i in range(900)]
+    for rows in (small, large):
+        got = linequality.judge(make_docs(rows), least=5, min_words=1).filter("n_line_words > 0").count()
+        assert got == 8

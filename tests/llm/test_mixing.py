@@ -77,3 +77,16 @@ def test_awkward_rows(awkward, nothing, make_docs):
     assert [(r.target, r.taken, r.copies) for r in empty] == [(0.0, 0, 1)] * 2
     same = mixing.mix(make_docs([(i, "three words here", "en", "only") for i in range(50)])).collect()
     assert sum(r.taken for r in same) == 225
+
+
+def test_small_documents_make_up_for_a_long_one(make_docs):
+    rows = [(i, "w " * 300, "en", "a") for i in range(1000)] + [(1000, "w " * 1_000_000, "en", "a")]
+    got = mixing.mix(make_docs(rows), share=0.5, weights=(1,)).collect()
+    assert got[0].target == 650_000 and sum(r.taken for r in got) == 600_000
+    assert abs(got[0].miss + 5 / 65) < 1e-9
+
+
+def test_rows_without_id_follow_the_mix(make_docs):
+    rows = [(None if i % 2 else i, " ".join(["w"] * (i % 7 + 1)) + f" {i}", "en", "ab"[i % 3 == 0]) for i in range(400)]
+    docs = make_docs(rows)
+    assert mixing.repeat(docs).count() == sum(r.copies for r in mixing.mix(docs).collect())

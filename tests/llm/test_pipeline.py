@@ -84,3 +84,22 @@ def test_all_operators_are_registered():
     names = [n for n in entry_point.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 11))
     assert "pipeline" in entry_point.queries() and set(queries.ORACLES) <= set(entry_point.oracle_sql())
+
+
+def test_stages_take_odd_columns_and_ids(spark, make_docs):
+    """Clashing, spaced and dotted columns; repeated rows; one id with two texts; no id; no rows."""
+    long = " ".join(f"word{i % 4001}x{i % 83}" for i in range(30_000))
+    one, two = "the first text speaks of ships and harbours at sea.", "quite another one tells how bread is baked by hand."
+    rows = corpus() + [(700, one, "en", "s0"), (700, two, "en", "s0"), (701, two + " Also late.", "en", "s1"), (701, two + " Also late.", "en", "s1"),
+                       (None, one + " It has no id.", "en", "s0"), (702, long, "en", None)]
+    docs = make_docs(rows).selectExpr("*", "1 AS `my col`", "2 AS `a.b`", "array(3) AS __m")
+    alone = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert alone.filter("doc_id = 700").count() == 2 and alone.filter("doc_id = 701").count() == 1
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        kept = stage(spark, kept, "")
+        if name != "packed_sequences":
+            assert kept.dtypes == docs.dtypes
+    assert kept.count() > 0
+    nothing = docs.filter("false")
+    assert all(stage(spark, nothing, "").count() == 0 for _, stage in corpus_pipeline.STAGES)

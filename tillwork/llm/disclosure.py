@@ -9,12 +9,10 @@ one that leaves less than ``generalise_bits`` is put in general terms.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.llm.common import columns, stash
+from tillwork.llm.common import bound, columns, stash
 
 # Starts inside a run of such characters match if and only if its first start does, unless a match has taken that.
 _MAIL = "[A-Za-z0-9._%+-]"
@@ -29,11 +27,6 @@ LETTERS = r"\p{L}++"
 _BLOCK = 256
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once, however often it is named there."""
-    return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
-
-
 def sums_before(values: Column) -> Column:
     """For each place of an array, the sum of the elements before it.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.llm.common import columns
+from tillwork.llm.common import bound, columns
 
 WHITE = " \t\n\x0b\x0c\r"
 GAP = r"[\x20\x09-\x0D]+"
@@ -95,26 +95,50 @@ def lines_of(docs: DataFrame) -> DataFrame:
                         "text_hash", "place", F.size(F.split(F.btrim("line", F.lit(WHITE)), GAP, -1)).alias("words"))
 
 
-def frequent_lines(docs: DataFrame, lines: DataFrame, least: int, share: float) -> DataFrame:
-    """Lines of a host in more than ``least`` documents and more than ``share`` of the host's.
+def frequent_lines(lines: DataFrame, least: int) -> DataFrame:
+    """Lines of a host in more than ``least`` of its documents, however many these are."""
+    return (lines.select("host", "line_hash", "doc_id").distinct().groupBy("host", "line_hash")
+            .agg(F.count("doc_id").alias("n_docs")).filter(F.col("n_docs") > least))
+
+
+def removed_lines(named: DataFrame, least: int) -> DataFrame:
+    """Per document with any: the places of its frequent lines, and their words."""
+    lines = lines_of(named)
+    frequent = frequent_lines(lines, least).select(*[F.col(c).alias(f"f_{c}") for c in ("host", "line_hash")])
+    # rows that repeat id and text give the same lines again
+    hit = lines.join(frequent, lines["host"].eqNullSafe(frequent["f_host"])
+                     & (lines["line_hash"] == frequent["f_line_hash"]))
+    return hit.select("host", "doc_id", "text_hash", "place", "words").distinct().groupBy(
+        "host", "doc_id", "text_hash").agg(F.sum("words").alias("line_words"), F.collect_list("place").alias("places")).toDF(
+        "r_host", "r_doc_id", "r_text_hash", "line_words", "places")
+
+
+def _with_removed(named: DataFrame, removed: DataFrame) -> DataFrame:
+    return named.join(removed, named["doc_id"].eqNullSafe(removed["r_doc_id"])
+                      & (named["text_hash"] == removed["r_text_hash"])
+                      & named["host"].eqNullSafe(removed["r_host"]), "left")
 
-    The lines beyond ``least`` are few before the host's size is looked up.
+
+def without_frequent_lines(docs: DataFrame, least: int = 5, id_col: str = "doc_id", text_col: str = "text",
+                           host_col: str = "source") -> DataFrame:
+    """``doc_id, host, text``: the texts without the lines that too many documents of their host have.
+
+    A null text stays null; a text of such lines alone is empty.
     """
-    seen = (lines.select("host", "line_hash", "doc_id").distinct().groupBy("host", "line_hash")
-            .agg(F.count("doc_id").alias("n_docs")).filter(F.col("n_docs") > least))
-    hosts = (docs.select("host", "doc_id").distinct().groupBy("host")
-             .agg(F.count("doc_id").alias("host_docs")).withColumnRenamed("host", "of_host"))
-    joined = seen.join(hosts, seen["host"].eqNullSafe(hosts["of_host"]))
-    return joined.filter(F.col("n_docs") > share * F.col("host_docs")).select("host", "line_hash", "n_docs")
+    named = columns(docs, id_col, text_col, host_col).toDF("doc_id", "text", "host")
+    hashed = named.withColumn("text_hash", F.xxhash64("text"))
+    joined = _with_removed(hashed, removed_lines(named, least).drop("line_words"))
+    kept = bound(F.split("text", "\n", -1), lambda lines: F.concat_ws("\n", F.transform(
+        F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "places")), lambda i: F.get(lines, i))))
+    return joined.select("doc_id", "host", F.when(F.col("places").isNull(), F.col("text")).otherwise(kept).alias("text"))
 
 
-def judge(docs: DataFrame, least: int = 20, share: float = 0.01, min_left: float = 0.5, min_words: int = 50,
+def judge(docs: DataFrame, least: int = 5, min_left: float = 0.7, min_words: int = 50,
           max_repeat: float = 0.5, window: int = 3, id_col: str = "doc_id", text_col: str = "text",
           host_col: str = "source") -> DataFrame:
     """One row per input row: the measures, ``base_failed``, ``n_line_words`` and ``kept``.
 
-    ``n_line_words``: words on lines that more than ``least`` documents and more than
-    ``share`` of the documents of the same host have. ``kept`` is false if the base rules
+    ``n_line_words``: words on lines that more than ``least`` documents of the same host have. ``kept`` is false if the base rules
     fail (under ``min_words`` words, or more than ``max_repeat`` of them in repeated
     sequences) or if less than ``min_left`` of the words are left without those lines.
 
@@ -124,20 +148,9 @@ def judge(docs: DataFrame, least: int = 20, share: float = 0.01, min_left: float
     give no rows.
     """
     named = columns(docs, id_col, text_col, host_col).toDF("doc_id", "text", "host")
-    lines = lines_of(named)
-    frequent = frequent_lines(named, lines, least, share)
-    frequent = frequent.select(*[F.col(c).alias(f"f_{c}") for c in ("host", "line_hash")])
-    # rows that repeat id and text give the same lines again
-    hit = lines.join(frequent, lines["host"].eqNullSafe(frequent["f_host"])
-                     & (lines["line_hash"] == frequent["f_line_hash"]))
-    removed = hit.select("host", "doc_id", "text_hash", "place", "words").distinct().groupBy(
-        "host", "doc_id", "text_hash").agg(F.sum("words").alias("line_words"))
     base = text_measures(named.withColumn("text_hash", F.xxhash64("text")), window).select(
         "doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    removed = removed.toDF("r_host", "r_doc_id", "r_text_hash", "line_words")
-    joined = base.join(removed, base["doc_id"].eqNullSafe(removed["r_doc_id"])
-                       & (base["text_hash"] == removed["r_text_hash"])
-                       & base["host"].eqNullSafe(removed["r_host"]), "left")
+    joined = _with_removed(base, removed_lines(named, least).drop("places"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     gone = F.coalesce("line_words", F.lit(0)).cast("long")
     return joined.select(

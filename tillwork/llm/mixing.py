@@ -89,14 +89,36 @@ def tilts(sizes: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
     return state.select("source", "mean", "open", "target", "source_size", F.round("tilt", 12).alias("tilt"))
 
 
+def closer(rated: DataFrame, cap: int, rounds: int = 3) -> DataFrame:
+    """Spend the words by which each source misses its target on documents no larger than the miss.
+
+    Rounding copies may leave out a very long document that smaller ones can make up for. Per round
+    the largest sizes come first; what is left then is less than the size at which it stopped.
+    """
+    of_source = Window.partitionBy("source")
+    larger = of_source.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    for _ in range(rounds):
+        rated = rated.withColumn("gap", F.col("target") - F.sum(F.col("group_copies") * F.col("size")).over(of_source))
+        fits = (F.col("size") > 0) & (F.col("size") <= F.abs("gap"))
+        room = F.when(F.col("gap") > 0, cap * F.col("n") - F.col("group_copies")).otherwise(F.col("group_copies"))
+        rated = rated.withColumn("room", F.when(fits, room).otherwise(0))
+        spent = F.coalesce(F.sum(F.col("room") * F.col("size")).over(larger), F.lit(0))
+        more = F.floor((F.abs("gap") - spent) / F.greatest("size", F.lit(1)))
+        step = F.greatest(F.least(F.col("room"), more), F.lit(0))
+        rated = rated.withColumn("group_copies", (F.col("group_copies") + F.signum("gap") * step).cast("long"))
+    taken = F.sum(F.col("group_copies") * F.col("size")).over(of_source)
+    return rated.drop("gap", "room").withColumn("miss", F.try_divide(taken - F.col("target"), F.col("target")))
+
+
 def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = (5, 2, 1),
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: ``size``, ``source_size``, ``target``, ``rate``, ``copies``, ``taken``.
+    """One row per input row: ``size``, ``source_size``, ``target``, ``rate``, ``copies``, ``taken``, ``miss``.
 
     Sources in order of code points, null last, weigh ``weights`` in turn and share ``share``
     times all words; no target is above ``cap`` times the words of its source, no document is
-    taken more than ``cap`` times. ``taken`` = ``copies`` times ``size``. The sum over a source
-    is off its target by no more than the largest document, and reruns agree.
+    taken more than ``cap`` times. ``taken`` = ``copies`` times ``size``. What a source is off its target
+    after rounding is spent on documents that fit in it (``closer``); ``miss`` is what remains, as a share
+    of the target. Reruns agree.
 
     A null text has size 0; a null source is a source; rows without words are taken once, or
     ``cap`` times in a source taken whole at the cap; repeated rows are documents of their own,
@@ -113,7 +135,8 @@ def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, .
     run = F.sum(F.col("n") * F.col("rate")).over(Window.partitionBy("source").orderBy("size"))
     rated = rated.withColumn("upto", F.floor(run + 0.5)).withColumn(
         "group_copies", F.col("upto") - F.coalesce(F.lag("upto").over(Window.partitionBy("source").orderBy("size")), F.lit(0)))
-    rated = rated.select("s", "size", "n", "source_size", "target", "rate", "group_copies").withColumnRenamed("size", "of_size")
+    rated = closer(rated, cap)
+    rated = rated.select("s", "size", "n", "source_size", "target", "rate", "miss", "group_copies").withColumnRenamed("size", "of_size")
 
     # Documents of a group differ by one copy at most; which get it goes by rank, in parts of bounded size.
     parts = (sizes.agg(F.max("n")).first()[0] or 0) // GROUP_ROWS + 1
@@ -123,7 +146,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, .
     upto = F.sum("m").over(Window.partitionBy("source", "size").orderBy("part"))
     extra = F.col("group_copies") % F.col("n")
     planned = planned.withColumn("upto", upto).select(
-        F.col("source").alias("s"), F.col("size").alias("of_size"), F.col("part").alias("of_part"), "source_size", "target", "rate",
+        F.col("source").alias("s"), F.col("size").alias("of_size"), F.col("part").alias("of_part"), "source_size", "target", "rate", "miss",
         F.floor(F.col("group_copies") / F.col("n")).alias("each"),
         (F.floor(extra * F.col("upto") / F.col("n")) - F.floor(extra * (F.col("upto") - F.col("m")) / F.col("n"))).alias("more"))
     order = Window.partitionBy("source", "size", "part").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id")
@@ -132,22 +155,28 @@ def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, .
                          & (ranked["part"] == planned["of_part"]))
     copies = (F.col("each") + (F.col("place") <= F.col("more")).cast("int")).cast("int")
     return joined.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"),
-                         (copies * F.col("size")).alias("taken"))
+                         (copies * F.col("size")).alias("taken"), "miss")
 
 
 def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
            **settings) -> DataFrame:
     """The documents, all columns, each as often as the mix takes it.
 
-    Rows that share an id share its copies evenly; rows without an id stay as they are.
+    Rows that share id, source and size share the copies that the mix takes of them evenly, also those
+    without an id.
     """
     taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **settings)
-    taken = taken.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(
+    group = ["__id", "__source", "__size"]
+    taken = taken.groupBy(*[F.col(c).alias(g) for c, g in zip(("doc_id", "source", "size"), group)]).agg(
         F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    key = docs[f"`{id_col}`"]
-    joined = docs.filter(key.isNotNull()).join(taken, key == taken["__id"])
-    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    of = [docs[f"`{c}`"] for c in (id_col, source_col)] + [F.size(word_array(docs[f"`{text_col}`"])).cast("long")]
+    marked = docs.withColumns({f"{g}_of": c for g, c in zip(group, of)})
+    same = F.lit(True)
+    for g in group:
+        same = same & marked[f"{g}_of"].eqNullSafe(taken[g])
+    joined = marked.join(taken, same)
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64(F.col(f"`{text_col}`"))))
     times = F.floor(F.col("__copies") / F.col("__rows")) + (place <= F.col("__copies") % F.col("__rows")).cast("int")
     joined = joined.withColumn("__times", times.cast("int")).filter("__times > 0")
     joined = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return joined.select(*docs.columns).unionByName(docs.filter(key.isNull()))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])

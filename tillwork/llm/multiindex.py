@@ -220,8 +220,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, centroids: int = 32
         as_queries, "block long, query_block long, vec_id long, vector binary, cells binary")
     found = entries.groupBy("block", "query_block").cogroup(queries.groupBy("block", "query_block")).applyInArrow(
         compare, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # rows that repeat a query find the same again, which takes no further place
+    rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").distinct()
 
 
 def _blocks(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -36,11 +36,7 @@ real_lines AS (
     regexp_replace(lower(array_to_string(lw, ' ')), '[0-9]+', '0', 'g') AS k
   FROM lines WHERE len(lw) > 0),
 doubled AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM real_lines GROUP BY doc_id),
-hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source),
-frequent AS (
-  SELECT s.source, k FROM
-    (SELECT source, k, count(DISTINCT doc_id) AS docs FROM real_lines GROUP BY source, k HAVING count(DISTINCT doc_id) > 20) s
-  JOIN hosts h ON h.source IS NOT DISTINCT FROM s.source WHERE s.docs > 0.01 * h.docs),
+frequent AS (SELECT source, k FROM real_lines GROUP BY source, k HAVING count(DISTINCT doc_id) > 5),
 gone AS (
   SELECT doc_id, sum(n) AS n FROM real_lines l
   JOIN frequent f ON f.source IS NOT DISTINCT FROM l.source AND f.k = l.k GROUP BY doc_id),
@@ -50,7 +46,7 @@ measured AS (
     coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_line_words
   FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN doubled USING (doc_id) LEFT JOIN gone USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_line_words >= 0.5 * n_words AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_line_words >= 0.7 * n_words AS kept
 FROM measured
 """
 

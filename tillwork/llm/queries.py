@@ -61,7 +61,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linequality.judge(table(spark, sf_dir, "documents"), least=20, share=0.01)
+    return linequality.judge(table(spark, sf_dir, "documents"), least=5)
 
 
 def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -297,9 +297,11 @@ def one_of_each(docs: DataFrame, size: int = 4, max_bits: int = 4, seed: int = 4
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each group, all columns; repeated rows once.
 
-    A document with a null id stands in no group and stays.
+    Rows that share this id and differ in any column all stay. A document with a null id stands in no
+    group and stays.
     """
     found = near_duplicates(docs, size, max_bits, seed, id_col, text_col)
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
     once = docs.filter(docs[f"`{id_col}`"].isNotNull()).join(kept, docs[f"`{id_col}`"] == kept.kept_id, "left_semi")
-    return once.dropDuplicates([id_col]).unionByName(docs.filter(docs[f"`{id_col}`"].isNull()))
+    whole = once.withColumn("__row", F.xxhash64(*[once[f"`{c}`"] for c in docs.columns]))
+    return whole.dropDuplicates([id_col, "__row"]).drop("__row").unionByName(docs.filter(docs[f"`{id_col}`"].isNull()))

@@ -221,18 +221,19 @@ def parse(docs: DataFrame, window: int = 13, seed: int = 8, id_col: str = "doc_i
     ``doc_id``; ``n_words``; ``n_removed``: words under factors; ``kept_sha256``: of the words
     kept, joined by one space; ``factors``: array of (first word, number of words, source
     document, first word there), a word may lie under two; ``kept_text``: the text without
-    these words and the white space behind each. The columns named in ``keep`` follow.
+    these words and the white space behind each. The columns named in ``keep`` follow as
+    keep_0, keep_1 and so on.
 
     A sequence counts as held before only if a document with a smaller id has it; a null id
     is smaller than any other. Rows that repeat an id do not count against each other. A null
     text has no words and its ``kept_text`` is null. No rows give no rows.
     """
     kinds, seed = {f.name: f.dataType for f in docs.schema}, min(seed, window)
-    named = columns(docs, id_col, text_col, *keep).toDF("doc_id", "text", *(f"keep_{c}" for c in keep))
+    named = columns(docs, id_col, text_col, *keep).toDF("doc_id", "text", *(f"keep_{i}" for i in range(len(keep))))
     names = named.columns
     packed, owners = _exchange(named, window, seed, names)
     factor = "array<struct<start:int,length:int,source:bigint,source_start:int>>"
-    kept_schema = "".join(f", keep_{c} {kinds[c].simpleString()}" for c in keep)
+    kept_schema = "".join(f", keep_{i} {kinds[c].simpleString()}" for i, c in enumerate(keep))
     schema = T.StructType.fromDDL(f"doc_id {kinds[id_col].simpleString()}, n_words long, n_removed long, "
                                   f"kept_sha256 string, factors {factor}, kept_text string{kept_schema}")
 
@@ -303,5 +304,5 @@ def drop_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text
     left = parsed.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     length = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast(docs.schema[length_col].dataType)) if length_col in rest else None
     out = {id_col: F.col("doc_id"), text_col: F.col("kept_text")}
-    out |= {c: F.coalesce(length, f"keep_{c}") if c == length_col else F.col(f"keep_{c}") for c in rest}
+    out |= {c: F.coalesce(length, f"keep_{i}") if c == length_col else F.col(f"keep_{i}") for i, c in enumerate(rest)}
     return left.select(*[out[c].alias(c) for c in docs.columns])
