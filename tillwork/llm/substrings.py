@@ -233,9 +233,10 @@ def parse(docs: DataFrame, window: int = 13, seed: int = 8, id_col: str = "doc_i
     names = named.columns
     packed, owners = _exchange(named, window, seed, names)
     factor = "array<struct<start:int,length:int,source:bigint,source_start:int>>"
-    kept_schema = "".join(f", keep_{i} {kinds[c].simpleString()}" for i, c in enumerate(keep))
     schema = T.StructType.fromDDL(f"doc_id {kinds[id_col].simpleString()}, n_words long, n_removed long, "
-                                  f"kept_sha256 string, factors {factor}, kept_text string{kept_schema}")
+                                  f"kept_sha256 string, factors {factor}, kept_text string")
+    for i, c in enumerate(keep):
+        schema = schema.add(f"keep_{i}", kinds[c])
 
     def factor_block(texts: pa.Table, answers: pa.Table) -> pa.Table:
         block = _unpacked(texts)
