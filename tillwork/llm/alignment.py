@@ -25,8 +25,8 @@ from tillwork.llm.common import columns, stash
 from tillwork.llm.tokens import byte_letters
 from tillwork.llm.words import pieces
 
-SLICE_BYTES = 3 << 19  # of text aligned at once; a longer text is aligned alone
-KNOWN = 300_000  # words whose ids a worker remembers; then it begins anew
+SLICE_BYTES = 1 << 20  # of text aligned at once; a longer text is aligned alone
+KNOWN = 400_000  # words whose ids a worker remembers; then it begins anew
 ID_BITS = 20  # an id pair is one long: first id, then the second in this many bits
 # Both tokenizers end a token between a character that is no white space and a single space before another one.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -78,6 +78,18 @@ class Tokenizers:
         return pa.array([self.known[w] for w in words], pa.int64()), self.lists
 
 
+_opened: dict[str, Tokenizers] = {}
+
+
+def tokenizers_of(files: tuple[bytes, bytes]) -> Tokenizers:
+    """The encoders of a worker: opened once, so that its tasks share the words that it knows."""
+    name = hashlib.sha256(b"".join(files)).hexdigest()
+    if name not in _opened:
+        _opened.clear()
+        _opened[name] = Tokenizers(*files)
+    return _opened[name]
+
+
 def _flat(lists: pa.Array, codes: pa.Array, row_of: pa.Array, length_of: pa.Array, n: int) -> pa.Table:
     """Tokens of all documents end to end: their row, id and the byte at which they end in their document."""
     taken = lists.take(codes)
@@ -213,7 +225,7 @@ def aligned(docs: DataFrame, byte_level: str, pieces_model: str, id_col: str = "
     kind = named.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, number = Tokenizers(*files.value), TaskContext.get().partitionId() << 32
+        both, number = tokenizers_of(files.value), TaskContext.get().partitionId() << 32
         for batch in batches:
             schema = pa.schema([
                 ("slice", pa.int64()), ("place", pa.int32()), ("doc_id", batch.schema.field("doc_id").type),
@@ -222,6 +234,7 @@ def aligned(docs: DataFrame, byte_level: str, pieces_model: str, id_col: str = "
                 ("pairs", pa.list_(pa.int64())), ("n_docs", pa.list_(pa.int64()))])
             for part in pieces(batch, "text", SLICE_BYTES):
                 yield _slice_rows(part, both, number, schema)
+                pa.default_memory_pool().release_unused()
                 number += 1
 
     return stash(named.mapInArrow(run, (
