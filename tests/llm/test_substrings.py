@@ -87,3 +87,52 @@ def test_text_left_keeps_its_lines(make_docs):
     left = {r.doc_id: r for r in substrings.drop_repeats(make_docs(rows)).collect()}
     assert left[2].text == "Title\n\nand  more" and left[2].n_chars == len(left[2].text)
     assert left[1].text == passage and 3 not in left
+
+
+def spans_of(rows):
+    return {r.doc_id: [tuple(f) for f in r.factors] for r in rows}
+
+
+@pytest.mark.parametrize("block", [200, 1 << 20])
+def test_copy_of_a_document_is_one_factor(make_docs, monkeypatch, block):
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", block)
+    old = " ".join(f"a{i}" for i in range(400))
+    own = [f"b{i}" for i in range(40)]
+    mixed = " ".join(own[:20] + old.split()[50:350] + own[20:])  # holds a long passage of document 1
+    rows = [(1, old), (2, mixed), (3, mixed), (4, "new " + mixed + " end")]
+    found = spans_of(substrings.parse(make_docs(rows)).collect())
+    assert found[1] == [] and found[2] == [(20, 300, 1, 50)]
+    assert found[3] == [(0, 340, 2, 0)] and found[4] == [(1, 340, 2, 0)]
+
+
+def test_chance_matches_remove_no_word(make_docs, monkeypatch):
+    """With hashes of six bits nearly every look-up is a chance match; only true copies go."""
+    good = substrings.grams
+    monkeypatch.setattr(substrings, "grams", lambda h, k: good(h, k) & substrings.np.uint64(63))
+    rows = sharing_texts(40, 3)
+    words = {i: t.split() for i, t in rows}
+    truth = {i: n for i, _, n, _ in plain(rows)}
+    for r in substrings.parse(make_docs(rows)).collect():
+        assert r.n_removed <= truth[r.doc_id]
+        for f in r.factors:
+            assert words[r.doc_id][f.start:f.start + f.length] == words[f.source][f.source_start:f.source_start + f.length]
+
+
+def test_source_asked_by_many_is_split(make_docs, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(substrings, "ASKED_BYTES", 500)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"x{i} {passage} y{i}") for i in range(80)]
+    got = substrings.parse(make_docs(rows)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain(rows)
+    assert all(f == ([(1, 30, 0, 1)] if i else []) for i, f in spans_of(got).items())
+
+
+def test_one_id_with_different_texts(make_docs, monkeypatch):
+    """A source is found by its place, not by its id."""
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 300)
+    texts = [" ".join(f"t{k}_{i}" for i in range(25)) for k in range(6)]
+    rows = [(1, t) for t in texts] + [(2, f"{texts[4]} {texts[1]}"), (2, texts[5])]
+    got = substrings.parse(make_docs(rows)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain(rows)
+    assert sum(r.n_removed for r in got if r.doc_id == 2) == 75

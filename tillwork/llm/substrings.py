@@ -1,17 +1,22 @@
-"""Removal of passages that an earlier document holds, as factors of windows with one least owner.
+"""Removal of passages that an earlier document holds, by relative Lempel-Ziv parsing.
 
-Every document is factored against all earlier documents. The corpus is cut into reference
-blocks; each block's sequences of ``window`` words are indexed, and the indexes of all blocks
-meet bucket by bucket, dealt by sequence hash, so that each block learns, for each of its
-sequences, the earliest document and place that holds it. Every sequence that an earlier document
-holds is copied; a factor is a run of copied sequences whose earliest document and place go on in
-step. This is no greedy Lempel-Ziv parse: a factor also ends where the earliest document changes
-though its source goes on, so one long copy may give several overlapping factors. Words under
-factors are duplicates.
+The corpus is cut into reference blocks of whole documents. Each block indexes its sequences of
+``window`` words; the indexes of all blocks meet bucket by bucket, dealt by sequence hash, and each
+block learns for each of its sequences the earliest document that holds it and where. A document is
+then factored from left to right: the look-up at a word gives a source, and the words themselves,
+not their hashes, are compared along that source in the block that holds it. The first look-up of
+each stretch of sequences that occur earlier takes its whole stretch along, so a copy of a whole
+document is one factor. Where a source breaks off another look-up begins, and the sequences that cross
+the boundary are looked up as well. Of all factors found the parse takes, at each boundary, the one that
+reaches furthest, until every word of every earlier sequence is under one.
+
+Later look-ups take their own stretch and as many words again, so what travels stays a small
+multiple of the words that are copied. Source blocks that many ask are given to several tasks.
 
 Indexing every sequence would move more than the text. A first exchange moves seeds only: the
 least hash of the shorter word sequences within a window. Two equal windows have equal seeds, so a
-window whose seed occurs once is in no other document and is not indexed.
+window whose seed occurs once is in no other document and is not indexed. Sequences meet by 128 bits of
+hash; a chance match of these never removes a word, since words are compared.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from tillwork.llm.words import Words, grams, mix, pieces, scan, whole
 
 BLOCK_BYTES = 1 << 20  # of text in a reference block
 BUCKET_BYTES = 8 << 20  # of text whose index entries meet in one bucket
+ASKED_BYTES = 32 << 20  # of copied text that one task compares with its source block
+_SECOND = np.uint64(0xD6E8FEB86659FD93)  # sets the second hash of a sequence apart from the first
 SEED_BYTES = 5  # of a seed that are compared; a chance match costs a look-up, no more
 NO_ID = np.iinfo(np.int64).min  # a null id, smaller than any other
 _ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -44,9 +51,10 @@ def _packed(batch: pa.RecordBatch) -> bytes:
 
 
 def _unpacked(table: pa.Table) -> pa.Table:
-    """The rows of a block by document id, null first."""
+    """The rows of a block by document id and text, null first: words have the same place in every reading."""
     rows = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in table.column("packed")])
-    return rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending")], null_placement="at_start"))
+    keys = [("doc_id", "ascending"), ("text", "ascending")]
+    return rows.take(pc.sort_indices(rows, sort_keys=keys, null_placement="at_start"))
 
 
 def _seeds(hashes: np.ndarray, size: int, window: int) -> np.ndarray:
@@ -99,9 +107,12 @@ class _Block:
         self.hashes = self.words.hashes()
         self.at = np.flatnonzero(whole(self.words.first, window))
         self.hash = grams(self.hashes, window)[self.at]
-        row = self.words.rows()[self.at]
-        self.doc = _ids(block)[row]
-        self.place = self.at - self.words.first[row]
+        self.row = self.words.rows()[self.at]
+        self.doc = _ids(block)[self.row]
+        self.window = window
+
+    def second(self) -> np.ndarray:
+        return grams(mix(self.hashes ^ _SECOND), self.window)[self.at]
 
 
 def _exchange(docs: DataFrame, window: int, seed: int, names: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -152,8 +163,8 @@ def _exchange(docs: DataFrame, window: int, seed: int, names: list[str]) -> tupl
                          pa.array([x for _, x in out], pa.binary())], ["block", "seeds"])
 
     def offer_windows(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        names_out = ["bucket", "block", "hashes", "docs", "places"]
-        empty = pa.table([pa.array([], pa.int32())] * 2 + [pa.array([], pa.binary())] * 3, names_out)
+        names_out = ["bucket", "block", "hashes", "seconds", "docs", "spots"]
+        empty = pa.table([pa.array([], pa.int32())] * 2 + [pa.array([], pa.binary())] * 4, names_out)
         index = _Block(_unpacked(texts), window)
         low = np.uint64((1 << 8 * SEED_BYTES) - 1)
         seeds = (_seeds(index.hashes, seed, window) & low)[index.at]
@@ -169,49 +180,179 @@ def _exchange(docs: DataFrame, window: int, seed: int, names: list[str]) -> tupl
         found = found[first]  # of equal sequences, the earliest in the block
         bucket = index.hash[found] % np.uint64(buckets)
         found = found[np.argsort(bucket, kind="stable")]
-        out = [(k, _as_bytes(index.hash[found[r]]), _as_bytes(index.doc[found[r]]),
-                _as_bytes(index.place[found[r]].astype("<u4")))
+        second = index.second()
+        out = [(k, _as_bytes(index.hash[found[r]]), _as_bytes(second[found[r]]), _as_bytes(index.doc[found[r]]),
+                _as_bytes(index.at[found[r]].astype("<u4")))
                for k, r in _by(index.hash[found] % np.uint64(buckets))]
         here = texts.column("block")[0].as_py()
         return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([here] * len(out), pa.int32()),
-                         *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3))], names_out)
+                         *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3, 4))], names_out)
 
     def meet_windows(table: pa.Table) -> pa.Table:
-        h = np.frombuffer(_joined(table, "hashes"), np.uint64)
+        h, h2 = (np.frombuffer(_joined(table, c), np.uint64) for c in ("hashes", "seconds"))
         d = np.frombuffer(_joined(table, "docs"), np.int64)
-        p = np.frombuffer(_joined(table, "places"), "<u4")
+        p = np.frombuffer(_joined(table, "spots"), "<u4")
         b = np.repeat(np.asarray(table.column("block")), [len(x.as_buffer()) // 8 for x in table.column("hashes")])
-        order = np.lexsort((p, d, h))
-        h, d, p, b = h[order], d[order], p[order], b[order]
-        run = np.r_[True, h[1:] != h[:-1]][:len(h)]
+        order = np.lexsort((p, b, d, h2, h))
+        h, h2, d, p, b = h[order], h2[order], d[order], p[order], b[order]
+        run = np.r_[True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])][:len(h)]
         head = np.flatnonzero(run)[np.cumsum(run) - 1] if len(h) else np.empty(0, np.int64)
         later = d > d[head]
-        h, od, op, b = h[later], d[head][later], p[head][later], b[later]
-        order = np.argsort(b, kind="stable")
-        out = [(i, _as_bytes(h[order][r]), _as_bytes(od[order][r]), _as_bytes(op[order][r]))
-               for i, r in _by(b[order])]
+        owner, asker = head[later], b[later]
+        order = np.argsort(asker, kind="stable")
+        h, owner, asker = h[later][order], owner[order], asker[order]
+        out = [(i, _as_bytes(h[r]), _as_bytes(d[owner[r]]), _as_bytes(b[owner[r]].astype("<u4")), _as_bytes(p[owner[r]]))
+               for i, r in _by(asker)]
         return pa.table([pa.array([x[0] for x in out], pa.int32()),
-                         *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3))],
-                        ["block", "hashes", "docs", "places"])
+                         *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3, 4))],
+                        ["block", "hashes", "docs", "homes", "spots"])
 
-    packed = placed.mapInArrow(pack, "block int, packed binary")
+    packed = stash(placed.mapInArrow(pack, "block int, packed binary"), "blocks")
     seeds = placed.select("text", "__block").mapInArrow(offer_seeds, "bucket int, seeds binary, blocks binary")
     shared = stash(seeds.groupBy("bucket").applyInArrow(meet_seeds, "block int, seeds binary"), "seeds")
     offered = packed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
-        offer_windows, "bucket int, block int, hashes binary, docs binary, places binary")
+        offer_windows, "bucket int, block int, hashes binary, seconds binary, docs binary, spots binary")
     owners = offered.groupBy("bucket").applyInArrow(
-        meet_windows, "block int, hashes binary, docs binary, places binary")
+        meet_windows, "block int, hashes binary, docs binary, homes binary, spots binary")
     return packed, stash(owners, "owners")
 
 
-def _factors(index: _Block, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window of each factor: the source goes on in step from one to the next."""
+_ASKED = np.dtype([("row", "<i4"), ("start", "<i4"), ("length", "<i4"), ("spot", "<u4")])
+_FACTOR = np.dtype([("row", "<i4"), ("start", "<i4"), ("length", "<i4"), ("source_start", "<i4"), ("source", "<i8")])
+
+
+def _stretches(index: _Block, owner: np.ndarray, home: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The look-ups of a block: their source blocks, and what each asks for.
+
+    A look-up begins wherever the earliest place does not go on in step. The first one of a run of
+    sequences that occur earlier asks for the whole run, others for their own words and as many again.
+    """
     copied = np.flatnonzero(owner < index.doc)
     if not len(copied):
-        return copied, copied
-    step = (np.diff(index.at[copied]) == 1) & (np.diff(place[copied]) == 1) & (np.diff(owner[copied]) == 0)
-    step &= np.diff(index.place[copied]) == 1
-    return copied[np.r_[True, ~step]], copied[np.r_[~step, True]]
+        return np.empty(0, np.int64), np.empty(0, _ASKED)
+    near = (np.diff(index.at[copied]) == 1) & (np.diff(index.row[copied]) == 0)
+    step = near & (np.diff(spot[copied]) == 1) & (np.diff(home[copied]) == 0) & (np.diff(owner[copied]) == 0)
+    begin, end = copied[np.r_[True, ~step]], copied[np.r_[~step, True]]
+    leads = np.r_[True, ~near][np.r_[True, ~step]]
+    run_end = index.at[copied[np.r_[~near, True]]][np.cumsum(leads) - 1] + index.window
+    start, stop = index.at[begin], index.at[end] + index.window
+    stop = np.where(leads, run_end, np.minimum(run_end, 2 * stop - start))
+    asked = np.empty(len(begin), _ASKED)
+    asked["row"], asked["start"], asked["length"] = index.row[begin], start, stop - start
+    asked["spot"] = spot[begin]
+    return home[begin], asked
+
+
+def _agreeing(ours: bytes, theirs: bytes, length: int, window: int) -> list[tuple[int, int]]:
+    """Runs (first word, words) of at least ``window`` words in which two word sequences agree."""
+    if ours == theirs:
+        return [(0, length)]
+    runs, since = [], None
+    for i, same in enumerate([*(x == y for x, y in zip(ours.split(b" "), theirs.split(b" "))), False]):
+        if same and since is None:
+            since = i
+        elif not same and since is not None:
+            if i - since >= window:
+                runs.append((since, i - since))
+            since = None
+    return runs
+
+
+def _longer(found: np.ndarray) -> np.ndarray:
+    """Factors that go on along one source, overlapping or end to end, as one."""
+    if not len(found):
+        return found
+    along = found["source_start"] - found["start"]
+    order = np.lexsort((found["start"], along, found["source"], found["row"]))
+    found, along = found[order], along[order]
+    out = [found[0].copy()]
+    for i in range(1, len(found)):
+        last, this = out[-1], found[i]
+        if (this["row"] == last["row"] and this["source"] == last["source"] and along[i] == along[i - 1]
+                and this["start"] <= last["start"] + last["length"]):
+            last["length"] = max(last["length"], this["start"] + this["length"] - last["start"])
+        else:
+            out.append(this.copy())
+    return np.array(out, _FACTOR)
+
+
+def _parse(found: np.ndarray) -> np.ndarray:
+    """From left to right, at each boundary the factor that begins there or before and reaches furthest.
+
+    The words under the factors taken are the words under all of them.
+    """
+    found = _longer(found)
+    found = found[np.lexsort((found["source"], -found["length"], found["start"], found["row"]))]
+    rows, starts = found["row"].tolist(), found["start"].tolist()
+    ends = (found["start"] + found["length"]).tolist()
+    taken, i = [], 0
+    row, reach = -1, -1
+    while i < len(rows):
+        if rows[i] != row or starts[i] > reach:
+            row, best = rows[i], i
+            i += 1
+        else:
+            best = None
+            while i < len(rows) and rows[i] == row and starts[i] <= reach:
+                if ends[i] > (reach if best is None else ends[best]):
+                    best = i
+                i += 1
+            if best is None:
+                continue
+        taken.append(best)
+        reach = ends[best]
+    return found[taken]
+
+
+def _verified(packed: DataFrame, owners: DataFrame, window: int) -> DataFrame:
+    """The factors of each block, every one compared with its source word by word."""
+    def ask(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        index, here = _Block(_unpacked(texts), window), texts.column("block")[0].as_py()
+        _, first, which = np.unique(index.hash, return_index=True, return_inverse=True)
+        owner, spot, home = index.doc[first], index.at[first], np.full(len(first), here, np.int64)
+        told = np.searchsorted(index.hash[first], np.frombuffer(_joined(answers, "hashes"), np.uint64))
+        owner[told] = np.frombuffer(_joined(answers, "docs"), np.int64)
+        home[told] = np.frombuffer(_joined(answers, "homes"), "<u4")
+        spot[told] = np.frombuffer(_joined(answers, "spots"), "<u4")
+        homes, asked = _stretches(index, owner[which], home[which], spot[which])
+        text, a, b = index.words.joined(index.words.data)
+        order = np.argsort(homes, kind="stable")
+        out = []
+        for source, r in _by(homes[order]):
+            some = asked[order[r]]
+            stop = b[some["start"] + some["length"] - 1].tolist()
+            words = [text[x:y] for x, y in zip(a[some["start"]].tolist(), stop)]
+            some["start"] -= index.words.first[some["row"]].astype(np.int32)
+            out.append((source, some.tobytes(), words, sum(map(len, words))))
+        kinds = [pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.int64()]
+        cells = [pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)]
+        return pa.table([pa.array([here] * len(out), pa.int32()), *cells], ["asker", "block", "asked", "words", "size"])
+
+    def compare(texts: pa.Table, spans: pa.Table) -> pa.Table:
+        block = _unpacked(texts)
+        words, ids = scan(block.column("text").combine_chunks()), _ids(block)
+        text, a, b = words.joined(words.data)
+        out = []
+        for raw, ours in zip(spans.column("asked"), spans.column("words")):
+            asked = np.frombuffer(raw.as_buffer(), _ASKED)
+            row = np.searchsorted(words.first, asked["spot"], "right") - 1
+            stop = np.minimum(asked["spot"] + asked["length"].astype(np.int64), words.first[row + 1])
+            start = asked["spot"] - words.first[row]
+            cells = zip(asked.tolist(), ours.as_py(), a[asked["spot"]].tolist(), b[stop - 1].tolist(),
+                        start.tolist(), ids[row].tolist())
+            out.append(np.array([(r, s + i, n, at + i, source) for (r, s, length, _), x, y, z, at, source in cells
+                                 for i, n in _agreeing(x, text[y:z], length, window)], _FACTOR).tobytes())
+        return pa.table([spans.column("asker").combine_chunks(), pa.array(out, pa.binary())], ["block", "factors"])
+
+    spans = stash(packed.groupBy("block").cogroup(owners.groupBy("block")).applyInArrow(
+        ask, "asker int, block int, asked binary, words array<binary>, size bigint"), "spans")
+    parts = F.ceil(F.sum("size") / ASKED_BYTES).cast("int")
+    load = spans.groupBy("block").agg(F.greatest(parts, F.lit(1)).alias("parts"))
+    dealt = spans.join(load, "block").withColumn("part", F.pmod("asker", "parts"))
+    sources = packed.join(load.toDF("asked_block", "copies"), F.col("block") == F.col("asked_block")).select(
+        F.col("block").alias("home"), "packed", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    by_home, by_asker = sources.groupBy("home", "copy"), dealt.groupBy("block", "part")
+    return stash(by_home.cogroup(by_asker).applyInArrow(compare, "block int, factors binary"), "factors")
 
 
 def parse(docs: DataFrame, window: int = 13, seed: int = 8, id_col: str = "doc_id", text_col: str = "text",
@@ -220,7 +361,7 @@ def parse(docs: DataFrame, window: int = 13, seed: int = 8, id_col: str = "doc_i
 
     ``doc_id``; ``n_words``; ``n_removed``: words under factors; ``kept_sha256``: of the words
     kept, joined by one space; ``factors``: array of (first word, number of words, source
-    document, first word there), a word may lie under two; ``kept_text``: the text without
+    document, first word there), in order, each equal to its source word by word; neighbours may overlap; ``kept_text``: the text without
     these words and the white space behind each. The columns named in ``keep`` follow as
     keep_0, keep_1 and so on.
 
@@ -240,19 +381,13 @@ def parse(docs: DataFrame, window: int = 13, seed: int = 8, id_col: str = "doc_i
 
     def factor_block(texts: pa.Table, answers: pa.Table) -> pa.Table:
         block = _unpacked(texts)
-        index = _Block(block, window)
-        words = index.words
-        unique, first, spot = np.unique(index.hash, return_index=True, return_inverse=True)
-        owner, place = index.doc[first], index.place[first]
-        told = np.searchsorted(unique, np.frombuffer(_joined(answers, "hashes"), np.uint64))
-        owner[told] = np.frombuffer(_joined(answers, "docs"), np.int64)
-        place[told] = np.frombuffer(_joined(answers, "places"), "<u4")
-        owner, place = owner[spot], place[spot]
-        begin, end = _factors(index, owner, place)
+        words = scan(block.column("text").combine_chunks())
+        found = _parse(np.frombuffer(_joined(answers, "factors"), _FACTOR))
+        begin = words.first[found["row"]] + found["start"]
 
         cover = np.zeros(len(words.starts) + 1, np.int32)
-        np.add.at(cover, index.at[begin], 1)
-        np.subtract.at(cover, index.at[end] + window, 1)
+        np.add.at(cover, begin, 1)
+        np.subtract.at(cover, begin + found["length"], 1)
         kept = np.cumsum(cover[:-1]) == 0
         cut = np.r_[0, np.cumsum(~kept)]
         removed = np.diff(cut[words.first])
@@ -276,18 +411,17 @@ def parse(docs: DataFrame, window: int = 13, seed: int = 8, id_col: str = "doc_i
                 left.append(words.data[span][stays[span]].tobytes().decode())
             else:
                 left.append(original[r].as_py())
-        row = words.rows()[index.at[begin]]
-        per_row = np.bincount(row, minlength=block.num_rows)
-        source = pa.array(owner[begin], mask=owner[begin] == NO_ID)
-        flat = pa.StructArray.from_arrays(
-            [pa.array(index.place[begin].astype(np.int32)), pa.array((end - begin + window).astype(np.int32)),
-             source, pa.array(place[begin].astype(np.int32))], ["start", "length", "source", "source_start"])
+        per_row = np.bincount(found["row"], minlength=block.num_rows)
+        source = pa.array(found["source"], mask=found["source"] == NO_ID)
+        parts = [pa.array(np.ascontiguousarray(found[c])) for c in ("start", "length", "source_start")]
+        flat = pa.StructArray.from_arrays([*parts[:2], source, parts[2]], ["start", "length", "source", "source_start"])
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_row)].astype(np.int32)), flat)
         return pa.table([block.column("doc_id").combine_chunks(), pa.array(words.counts.astype(np.int64)),
                          pa.array(removed.astype(np.int64)), pa.array(sha), lists, pa.array(left, pa.string()),
                          *(block.column(c).combine_chunks() for c in names[2:])], schema.names)
 
-    return packed.groupBy("block").cogroup(owners.groupBy("block")).applyInArrow(factor_block, schema)
+    factors = _verified(packed, owners, window)
+    return packed.groupBy("block").cogroup(factors.groupBy("block")).applyInArrow(factor_block, schema)
 
 
 def _row_ends(texts: pa.Array) -> np.ndarray:
