@@ -22,7 +22,7 @@ def columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[docs[f"`{n}`"] for n in names])
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+def stash(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the folder all executors share and read it back.
 
     Cuts the lineage: what follows survives a lost executor without the work before it,
@@ -30,10 +30,19 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tillwork-llm/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stash_buckets(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """``stash``, dealt by ``key`` into a bucketed table: grouping by it later needs no shuffle of these rows."""
+    spark = df.sparkSession
+    name = f"tillwork_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tillwork-llm/{spark.sparkContext.applicationId}/{name}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is worked out once, however often it is named there."""
     return F.get(F.transform(F.array(value), lambda v: use(v)), 0)

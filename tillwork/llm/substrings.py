@@ -15,7 +15,7 @@ multiple of the words that are copied. Source blocks that many ask are given to
 
 Indexing every sequence would move more than the text. A first exchange moves seeds only: the
 least hash of the shorter word sequences within a window. Two equal windows have equal seeds, so a
-window whose seed occurs once is in no other document and is not indexed. Sequences meet by 128 bits of
+window whose seed occurs once is in no other document and is not indexed. Sequences meet by 96 bits of
 hash; a chance match of these never removes a word, since words are compared.
 """
 
@@ -31,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillwork.llm.common import columns, stash
+from tillwork.llm.common import columns, stash, stash_buckets
 from tillwork.llm.words import Words, grams, mix, pieces, scan, whole
 
 BLOCK_BYTES = 1 << 20  # of text in a reference block
 BUCKET_BYTES = 8 << 20  # of text whose index entries meet in one bucket
 ASKED_BYTES = 32 << 20  # of copied text that one task compares with its source block
+DEALT_BYTES = 64 << 20  # of text whose blocks one task works through, one at a time
 _SECOND = np.uint64(0xD6E8FEB86659FD93)  # sets the second hash of a sequence apart from the first
 SEED_BYTES = 5  # of a seed that are compared; a chance match costs a look-up, no more
 NO_ID = np.iinfo(np.int64).min  # a null id, smaller than any other
@@ -112,7 +113,8 @@ class _Block:
         self.window = window
 
     def second(self) -> np.ndarray:
-        return grams(mix(self.hashes ^ _SECOND), self.window)[self.at]
+        """32 further bits of each hash."""
+        return (grams(mix(self.hashes ^ _SECOND), self.window)[self.at] >> np.uint64(32)).astype("<u4")
 
 
 def _exchange(docs: DataFrame, window: int, seed: int, names: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -189,7 +191,7 @@ def _exchange(docs: DataFrame, window: int, seed: int, names: list[str]) -> tupl
                          *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3, 4))], names_out)
 
     def meet_windows(table: pa.Table) -> pa.Table:
-        h, h2 = (np.frombuffer(_joined(table, c), np.uint64) for c in ("hashes", "seconds"))
+        h, h2 = (np.frombuffer(_joined(table, c), t) for c, t in (("hashes", np.uint64), ("seconds", "<u4")))
         d = np.frombuffer(_joined(table, "docs"), np.int64)
         p = np.frombuffer(_joined(table, "spots"), "<u4")
         b = np.repeat(np.asarray(table.column("block")), [len(x.as_buffer()) // 8 for x in table.column("hashes")])
@@ -200,20 +202,20 @@ def _exchange(docs: DataFrame, window: int, seed: int, names: list[str]) -> tupl
         later = d > d[head]
         owner, asker = head[later], b[later]
         order = np.argsort(asker, kind="stable")
-        h, owner, asker = h[later][order], owner[order], asker[order]
-        out = [(i, _as_bytes(h[r]), _as_bytes(d[owner[r]]), _as_bytes(b[owner[r]].astype("<u4")), _as_bytes(p[owner[r]]))
-               for i, r in _by(asker)]
+        own, owner, asker = p[later][order], owner[order], asker[order]
+        out = [(i, _as_bytes(own[r]), _as_bytes(b[owner[r]].astype("<u4")), _as_bytes(p[owner[r]])) for i, r in _by(asker)]
         return pa.table([pa.array([x[0] for x in out], pa.int32()),
-                         *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3, 4))],
-                        ["block", "hashes", "docs", "homes", "spots"])
+                         *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3))],
+                        ["block", "asked", "homes", "spots"])
 
-    packed = stash(placed.mapInArrow(pack, "block int, packed binary"), "blocks")
+    dealt = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks * BLOCK_BYTES // DEALT_BYTES + 1)
+    packed = stash_buckets(placed.mapInArrow(pack, "block int, packed binary"), "blocks", "block", dealt)
     seeds = placed.select("text", "__block").mapInArrow(offer_seeds, "bucket int, seeds binary, blocks binary")
     shared = stash(seeds.groupBy("bucket").applyInArrow(meet_seeds, "block int, seeds binary"), "seeds")
     offered = packed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
         offer_windows, "bucket int, block int, hashes binary, seconds binary, docs binary, spots binary")
     owners = offered.groupBy("bucket").applyInArrow(
-        meet_windows, "block int, hashes binary, docs binary, homes binary, spots binary")
+        meet_windows, "block int, asked binary, homes binary, spots binary")
     return packed, stash(owners, "owners")
 
 
@@ -221,17 +223,17 @@ _ASKED = np.dtype([("row", "<i4"), ("start", "<i4"), ("length", "<i4"), ("spot",
 _FACTOR = np.dtype([("row", "<i4"), ("start", "<i4"), ("length", "<i4"), ("source_start", "<i4"), ("source", "<i8")])
 
 
-def _stretches(index: _Block, owner: np.ndarray, home: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _stretches(index: _Block, earlier: np.ndarray, home: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The look-ups of a block: their source blocks, and what each asks for.
 
     A look-up begins wherever the earliest place does not go on in step. The first one of a run of
     sequences that occur earlier asks for the whole run, others for their own words and as many again.
     """
-    copied = np.flatnonzero(owner < index.doc)
+    copied = np.flatnonzero(earlier)
     if not len(copied):
         return np.empty(0, np.int64), np.empty(0, _ASKED)
     near = (np.diff(index.at[copied]) == 1) & (np.diff(index.row[copied]) == 0)
-    step = near & (np.diff(spot[copied]) == 1) & (np.diff(home[copied]) == 0) & (np.diff(owner[copied]) == 0)
+    step = near & (np.diff(spot[copied]) == 1) & (np.diff(home[copied]) == 0)
     begin, end = copied[np.r_[True, ~step]], copied[np.r_[~step, True]]
     leads = np.r_[True, ~near][np.r_[True, ~step]]
     run_end = index.at[copied[np.r_[~near, True]]][np.cumsum(leads) - 1] + index.window
@@ -309,12 +311,13 @@ def _verified(packed: DataFrame, owners: DataFrame, window: int) -> DataFrame:
     def ask(texts: pa.Table, answers: pa.Table) -> pa.Table:
         index, here = _Block(_unpacked(texts), window), texts.column("block")[0].as_py()
         _, first, which = np.unique(index.hash, return_index=True, return_inverse=True)
-        owner, spot, home = index.doc[first], index.at[first], np.full(len(first), here, np.int64)
-        told = np.searchsorted(index.hash[first], np.frombuffer(_joined(answers, "hashes"), np.uint64))
-        owner[told] = np.frombuffer(_joined(answers, "docs"), np.int64)
+        spot, home, copied = index.at[first], np.full(len(first), here, np.int64), index.doc > index.doc[first][which]
+        told = which[np.searchsorted(index.at, np.frombuffer(_joined(answers, "asked"), "<u4"))]
         home[told] = np.frombuffer(_joined(answers, "homes"), "<u4")
         spot[told] = np.frombuffer(_joined(answers, "spots"), "<u4")
-        homes, asked = _stretches(index, owner[which], home[which], spot[which])
+        earlier = np.zeros(len(first), bool)  # some other block holds it in an earlier document
+        earlier[told] = True
+        homes, asked = _stretches(index, copied | earlier[which], home[which], spot[which])
         text, a, b = index.words.joined(index.words.data)
         order = np.argsort(homes, kind="stable")
         out = []
@@ -345,12 +348,13 @@ def _verified(packed: DataFrame, owners: DataFrame, window: int) -> DataFrame:
         return pa.table([spans.column("asker").combine_chunks(), pa.array(out, pa.binary())], ["block", "factors"])
 
     spans = stash(packed.groupBy("block").cogroup(owners.groupBy("block")).applyInArrow(
-        ask, "asker int, block int, asked binary, words array<binary>, size bigint"), "spans")
+        ask, "asker int, block int, asked binary, words array<binary>, size bigint"), "spans", "zstd")
     parts = F.ceil(F.sum("size") / ASKED_BYTES).cast("int")
-    load = spans.groupBy("block").agg(F.greatest(parts, F.lit(1)).alias("parts"))
+    load = stash(spans.groupBy("block").agg(F.greatest(parts, F.lit(1)).alias("parts")), "load")  # Spark sees its size
     dealt = spans.join(load, "block").withColumn("part", F.pmod("asker", "parts"))
     sources = packed.join(load.toDF("asked_block", "copies"), F.col("block") == F.col("asked_block")).select(
         F.col("block").alias("home"), "packed", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    sources = sources.repartition("home", "copy")  # the copies of a block go to tasks of their own
     by_home, by_asker = sources.groupBy("home", "copy"), dealt.groupBy("block", "part")
     return stash(by_home.cogroup(by_asker).applyInArrow(compare, "block int, factors binary"), "factors")
 
