@@ -82,7 +82,7 @@ def test_same_result_in_sql(spark, sf_dir, name):
 
 def test_all_operators_are_registered():
     names = [n for n in entry_point.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 14))
     assert "pipeline" in entry_point.queries() and set(queries.ORACLES) <= set(entry_point.oracle_sql())
 
 
