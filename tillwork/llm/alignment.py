@@ -13,6 +13,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from tillwork.llm.words import pieces
 
 SLICE_BYTES = 1 << 20  # of text aligned at once; a longer text is aligned alone
 KNOWN = 400_000  # words whose ids a worker remembers; then it begins anew
+UNIT = 32  # words handed to the encoders as one string
 ID_BITS = 20  # an id pair is one long: first id, then the second in this many bits
 # Both tokenizers end a token between a character that is no white space and a single space before another one.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -60,6 +62,44 @@ class Tokenizers:
 
         self.known, self.lists = {}, [pa.array([], _IDS)] * 2
 
+    def _ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By both encoders the ids of all texts end to end, and how many each text has."""
+        first = [e.ids for e in self.first.encode_batch_fast(texts, add_special_tokens=False)]
+        second = self.second.encode([t[1:] for t in texts], num_threads=1)
+        return [(np.fromiter(chain.from_iterable(x), np.int32), np.fromiter(map(len, x), np.int64)) for x in (first, second)]
+
+    def _learn(self, words: list[str], alone: list[str]) -> None:
+        """Remember the ids of ``words``, that may stand in one string, and of those to be encoded alone.
+
+        A string is told apart again by the bytes of its tokens; where these do not meet the ends of its
+        words, its words are encoded alone.
+        """
+        units = [words[i:i + UNIT] for i in range(0, len(words), UNIT)]
+        size = np.array([len(u) for u in units], np.int64)
+        unit = np.repeat(np.arange(len(units)), size)
+        end = np.cumsum(np.asarray(pc.binary_length(pa.array(words, pa.large_string()))))
+        start = np.r_[0, end][np.r_[0, np.cumsum(size)]]
+        good, ids = np.ones(len(units), bool), []
+        for (flat, n), length in zip(self._ids(["".join(u) for u in units]), self.length_of):
+            widths = np.asarray(length.take(pa.array(flat)))
+            told = np.cumsum(widths, dtype=np.int64)
+            first = np.r_[0, np.cumsum(n)]
+            before = np.r_[0, told][first]
+            wanted = end + (before - start)[unit]
+            at = np.searchsorted(told, wanted)
+            missed = np.r_[told, -1][at] != wanted
+            odd = np.bincount(unit, missed, len(units)) + np.bincount(np.repeat(np.arange(len(units)), n), widths == 0, len(units))
+            good &= (np.diff(before) == np.diff(start)) & (odd == 0)
+            ids.append((flat, np.diff(np.r_[0, at + 1])))
+        if not good.all():
+            kept = [w for u, g in zip(units, good) if g for w in u]
+            return self._learn(kept, alone + [w for u, g in zip(units, good) if not g for w in u])
+        self.known.update(zip(chain(words, alone), range(len(self.known), len(self.known) + len(words) + len(alone))))
+        for side, ((flat, n), (more, m)) in enumerate(zip(ids, self._ids(alone))):
+            offsets = pa.array(np.r_[0, np.cumsum(np.r_[n, m])], pa.int32())
+            new = pa.ListArray.from_arrays(offsets, pa.array(np.r_[flat, more], pa.int32()))
+            self.lists[side] = pa.concat_arrays([self.lists[side], new])
+
     def encode(self, words: list[str]) -> tuple[pa.Array, list[pa.Array]]:
         """Places of words that begin with their space, and by both encoders the ids at each place.
 
@@ -67,15 +107,11 @@ class Tokenizers:
         """
         if len(self.known) > KNOWN:
             self.known, self.lists = {}, [pa.array([], _IDS)] * 2
-        new = [w for w in words if w not in self.known]
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        joins = [not (w[1:2].isspace() or w[-1].isspace()) for w in new]  # a cut on both sides
         if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            for i in range(0, len(new), 8192):
-                part = new[i:i + 8192]
-                first = [e.ids for e in self.first.encode_batch_fast(part, add_special_tokens=False)]
-                second = self.second.encode([w[1:] for w in part], num_threads=1)
-                self.lists = [pa.concat_arrays([old, pa.array(more, _IDS)]) for old, more in zip(self.lists, (first, second))]
-        return pa.array([self.known[w] for w in words], pa.int64()), self.lists
+            self._learn([w for w, j in zip(new, joins) if j], [w for w, j in zip(new, joins) if not j])
+        return pa.array(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))), list(self.lists)
 
 
 _opened: dict[str, Tokenizers] = {}
@@ -110,10 +146,10 @@ def _same_bytes(tokens: pa.Table, bytes_of: pa.Array, texts: list[bytes]) -> np.
     return np.array([bytes(data[first[i]:first[i + 1]]) == t for i, t in enumerate(texts)], bool)
 
 
-def _grouped(tokens: pa.Table, ends: pa.Table) -> np.ndarray:
-    """The group of each token: that of the next shared end; both tables are in order."""
-    place = [np.asarray(t["row"]) * _ROW_STEP + np.asarray(t["end"]) for t in (ends, tokens)]
-    return np.searchsorted(*place)
+def _ends(tokens: pa.Table, name: str) -> pa.Table:
+    """The key (document, end) of each token as one number, and the token's place."""
+    key = np.asarray(tokens["row"]) * _ROW_STEP + np.asarray(tokens["end"])
+    return pa.table({"key": key, name: np.arange(len(tokens))})
 
 
 def _mark(text: str) -> pa.Scalar:
@@ -124,11 +160,10 @@ def _pair(first: pa.Array, second: pa.Array) -> np.ndarray:
     return (np.asarray(first).astype(np.int64) << ID_BITS) + np.asarray(second)
 
 
-def _listed(tokens: pa.Table, group: np.ndarray, n: int) -> pa.Array:
+def _listed(tokens: pa.Table, first: np.ndarray) -> pa.Array:
     """Ids of each group as text, joined by commas."""
-    first = pa.array(np.searchsorted(group, np.arange(n + 1)), pa.int32())
     text = pc.cast(tokens["id"].combine_chunks(), pa.large_string())
-    return pc.binary_join(pa.ListArray.from_arrays(first, text), _mark(","))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(first, pa.int32()), text), _mark(","))
 
 
 def align(texts: list[str], both: Tokenizers) -> tuple[pa.Table, pa.Table, list[str]]:
@@ -144,24 +179,22 @@ def align(texts: list[str], both: Tokenizers) -> tuple[pa.Table, pa.Table, list[
         words += _CUT.split(text)
         first.append(len(words))
     row_of = pa.array(np.repeat(np.arange(n), np.diff(first)))
-    coded = pa.array(words, pa.large_string()).dictionary_encode()
-    place, lists = both.encode(coded.dictionary.to_pylist())
-    codes = place.take(coded.indices)
+    codes, lists = both.encode(words)
     sides = [_flat(x, codes, row_of, of, n) for x, of in zip(lists, both.length_of)]
     raw = [t.encode() for t in spaced]
     same = _same_bytes(sides[0], both.bytes_of[0], raw) & _same_bytes(sides[1], both.bytes_of[1], raw)
     if not same.all():
         kept = pa.array(same)
         sides = [s.filter(kept.take(s["row"].combine_chunks())) for s in sides]
-    ends = sides[0].select(["row", "end"]).join(
-        sides[1].select(["row", "end"]), keys=["row", "end"], join_type="inner", use_threads=False)
-    ends = ends.sort_by([("row", "ascending"), ("end", "ascending")])
-    row_of_group, n_groups = np.asarray(ends["row"]), len(ends)
-    groups = [_grouped(s, ends) for s in sides]
-    text = pc.binary_join_element_wise(*[_listed(s, g, n_groups) for s, g in zip(sides, groups)], _mark("|"))
+    ends = _ends(sides[0], "a").join(_ends(sides[1], "b"), keys="key", join_type="inner", use_threads=False).sort_by("a")
+    n_groups = len(ends)
+    row_of_group = np.asarray(sides[0]["row"])[np.asarray(ends["a"])]
+    firsts = [np.r_[0, np.asarray(ends[name]) + 1] for name in "ab"]  # both end with their last token
+    groups = [np.repeat(np.arange(n_groups), np.diff(f)) for f in firsts]
+    text = pc.binary_join_element_wise(*[_listed(s, f) for s, f in zip(sides, firsts)], _mark("|"))
     of_row = np.searchsorted(row_of_group, np.arange(n + 1))
     text = pc.binary_join(pa.ListArray.from_arrays(pa.array(of_row, pa.int32()), text), _mark(";"))
-    alone = np.bincount(groups[0], minlength=n_groups) * np.bincount(groups[1], minlength=n_groups) == 1
+    alone = np.diff(firsts[0]) * np.diff(firsts[1]) == 1
     single = [s["id"].combine_chunks().filter(pa.array(alone[g])) for s, g in zip(sides, groups)]
     rest = [pa.table({"group": g, name: s["id"]}).filter(pa.array(~alone[g])).group_by(["group", name], use_threads=False)
             .aggregate([([], "count_all")]).rename_columns(["group", name, f"n_{name}"])
