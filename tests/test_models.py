@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import functions as F
 
-from tillwork.operators import classify, forecast, meanshift, pairwise, scaling, segment
+from tillwork.operators import bandwidth, classify, forecast, meanshift, pairwise, scaling, segment
 from tillwork.params import PREDICTORS
 
 RNG = np.random.default_rng(5)
@@ -110,12 +110,29 @@ def test_silhouettes(cloud, monkeypatch):
         assert {k: got[k] for k in want} == pytest.approx(want)
 
 
-def test_bandwidths(cloud, monkeypatch):
-    df, xs, dist = cloud
-    monkeypatch.setattr(pairwise, "BLOCK_ROWS", 64)
-    ordered = np.sort(dist, axis=1)
-    want = {q: ordered[:, max(1, int(210 * q)) - 1].mean() for q in (0.001, 0.05, 0.3)}
-    assert pairwise.estimate_bandwidths(df, list(want)) == pytest.approx(want, abs=1e-6)
+@pytest.mark.parametrize("leaf, depth", [(16, 20), (16, 2)])  # leaves by size; crowded leaves dealt into parts
+def test_bandwidths(spark, cloud, monkeypatch, leaf, depth):
+    monkeypatch.setattr(bandwidth, "LEAF", leaf)
+    monkeypatch.setattr(bandwidth, "DEPTH", depth)
+    _, xs, _ = cloud
+    xs = np.vstack([xs, np.round(xs[:60], 1), xs[:20], np.repeat(xs[:1], 30, axis=0)])  # equal points are weights
+    df = spark.createDataFrame([([float(v) for v in x],) for x in xs], "x array<double>")
+    ordered = np.sort(np.sqrt(((xs[:, None] - xs[None]) ** 2).sum(-1)), axis=1)
+    want = {q: ordered[:, max(1, int(len(xs) * q)) - 1].mean() for q in (0.001, 0.05, 0.3)}
+    assert bandwidth.estimate_bandwidths(df, list(want)) == pytest.approx(want, abs=1e-7)
+
+
+def test_bandwidth_compares_few_leaves(spark, cloud, monkeypatch):
+    monkeypatch.setattr(bandwidth, "LEAF", 4)
+    leaves, links = bandwidth.cell_tree(cloud[0])
+    n = leaves.count()
+    assert leaves.agg(F.max(F.size("points"))).first()[0] <= 4
+    assert bandwidth.leaf_pairs(links, [5]).count() < 0.3 * n * n
+
+
+def test_bandwidth_of_equal_points(spark):
+    df = spark.createDataFrame([([1.0, 2.0],)] * 9, "x array<double>")
+    assert bandwidth.estimate_bandwidths(df, [0.1, 1.0]) == {0.1: 0.0, 1.0: 0.0}
 
 
 def _reference_mean_shift(xs, h):

@@ -15,8 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.session import shared_folder
-
 BLOCK_ROWS = 2048
 
 
@@ -107,58 +105,3 @@ def _mean_silhouette(labeling: int, sizes: list[int], offset: int) -> Column:
     far = F.array_min(to_others)
     width = F.try_divide(far - near, F.greatest(near, far))
     return F.avg(F.when(size[own] == 1, 0.0).otherwise(F.coalesce(width, F.lit(0.0))))
-
-
-# Bandwidth ------------------------------------------------------------------------------
-
-SEARCH_BINS = 64
-SEARCH_ROUNDS = 4  # 64 ** 4 steps: each distance is known to 3e-8 of the largest one
-
-
-def estimate_bandwidths(points: DataFrame, quantiles: Sequence[float],
-                        key: str = "customer_id") -> dict[float, float]:
-    """Mean over all points of the distance to their floor(q * n)-th nearest point.
-
-    The point itself counts as its nearest. The wanted distance of every point is
-    bracketed and the bracket cut into 64 parts per round; a block pair only adds how
-    many distances lie below each cut, so no task ever needs all distances of a point.
-    """
-    shared_folder(points.sparkSession)
-    dims = len(points.select("x").first().x)
-    row = points.agg(F.count("*").alias("n"), *[
-        (F.max(F.col("x")[d]) - F.min(F.col("x")[d])).alias(f"r{d}") for d in range(dims)]).first()
-    n, reach = row.n, math.sqrt(sum(row[f"r{d}"] ** 2 for d in range(dims))) or 1.0
-    ranks = [max(1, int(n * q)) for q in quantiles]
-    count, bins = len(ranks), SEARCH_BINS
-    distances = _distance_kernel()
-
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [f"s{i}" for i in range(bins)]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=[key, "q", *names])
-        dist = distances(left, right)
-        dist.sort(axis=1)
-        low, step = np.stack(left["low"].to_numpy()), np.stack(left["step"].to_numpy())
-        cuts = low[:, :, None] + step[:, :, None] * np.arange(1, bins + 1)
-        below = np.stack([row.searchsorted(c) for row, c in zip(dist, cuts.reshape(len(left), -1))])
-        out = pd.DataFrame(below.reshape(-1, bins).astype(float), columns=names)
-        out.insert(0, "q", np.tile(np.arange(count), len(left)))
-        out.insert(0, key, np.repeat(left[key].to_numpy(), count))
-        return out
-
-    start = [F.array(*[F.lit(v)] * count) for v in (0.0, reach * (1 + 1e-9) / bins)]
-    state = points.select(key, "x", start[0].alias("low"), start[1].alias("step"))
-    wanted = F.array(*[F.lit(float(r)) for r in ranks])
-    for _ in range(SEARCH_ROUNDS):
-        counts = block_sums(state, points.select(key, "x"), n, key, kernel, [key, "q"], bins)
-        missed = counts.select(key, "q", F.size(F.filter(
-            "sums", lambda c: c < F.get(wanted, F.col("q").cast("int")))).alias("skip"))
-        skips = missed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("q", "skip"))).alias("skips"))
-        state = state.join(skips, key).select(
-            key, "x",
-            F.zip_with(F.zip_with("low", "step", lambda a, s: F.struct(a.alias("a"), s.alias("s"))), "skips",
-                       lambda v, k: v["a"] + v["s"] * k["skip"]).alias("low"),
-            F.transform("step", lambda s: s / bins).alias("step")).checkpoint()
-    means = state.agg(*[F.avg(F.col("low")[i] + F.col("step")[i] * bins / 2).alias(f"b{i}")
-                        for i in range(count)]).first()
-    return {q: means[f"b{i}"] for i, q in enumerate(quantiles)}

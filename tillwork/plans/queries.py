@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwork.operators import (
-    classify, clean, concentration, customers, describe, forecast, pairwise, products, scaling,
+    bandwidth, classify, clean, concentration, customers, describe, forecast, pairwise, products, scaling,
     segment, temporal,
 )
 from tillwork.params import (
@@ -375,7 +375,7 @@ def rule_silhouette(s: Stages) -> DataFrame:
 
 
 def bandwidth_estimates(s: Stages) -> DataFrame:
-    found = pairwise.estimate_bandwidths(scaling.rfm_points(s.customers()), BANDWIDTH_QUANTILES)
+    found = bandwidth.estimate_bandwidths(scaling.rfm_points(s.customers()), BANDWIDTH_QUANTILES)
     return rounded(_rows(s.spark, [{"quantile": q, "bandwidth": h} for q, h in found.items()]), bandwidth=5)
 
 
