@@ -26,7 +26,7 @@ from tillwork.llm.common import columns, stash
 from tillwork.llm.tokens import byte_letters
 from tillwork.llm.words import pieces
 
-SLICE_BYTES = 1 << 20  # of text aligned at once; a longer text is aligned alone
+SLICE_BYTES = 1 << 19  # of text aligned at once; a longer text is aligned alone
 KNOWN = 400_000  # words whose ids a worker remembers; then it begins anew
 UNIT = 32  # words handed to the encoders as one string
 ID_BITS = 20  # an id pair is one long: first id, then the second in this many bits
