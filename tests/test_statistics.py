@@ -167,3 +167,20 @@ def test_no_window_gathers_a_crowded_bucket(spark):
     assert len(rows) <= 1024 and 1.6e9 + 123_456 in {r.value for r in rows}
     got = {r["prob"]: r["value"] for r in quantiles.exact_quantiles(df, ["v"], [0.25, 0.5]).collect()}
     assert got == {0.25: 1.6e9 + 249_999.75, 0.5: 1.6e9 + 499_999.5}
+
+
+def test_shares_of_a_crowded_bucket(spark):
+    """Amounts so close that they share a bucket: the last window sees a few of them."""
+    n = 300_000
+    items = spark.range(n).select("id", (F.lit(1_000_000.0) + F.col("id") * 0.001).alias("revenue"))
+    amounts, buckets = concentration._ranked_values(items, "revenue")
+    assert buckets.count() < 5
+    hits = buckets.withColumns({"top": F.lit(0.5), "k": (F.col("n_above") + F.col("n_until")) / 2})
+    holds = (F.col("k") > F.col("n_before")) & (F.col("k") <= F.col("n_to"))
+    assert concentration._crowd(amounts, hits.where("bn > 1000"), "top", "k", holds).count() < 50
+    value = 1_000_000 + np.arange(n)[::-1] * 0.001
+    got = [r.revenue_share for r in concentration.pareto_top_share(items, "revenue", (0.01, 0.2, 0.5)).collect()]
+    assert got == pytest.approx([value[:round(n * p)].sum() / value.sum() for p in (0.01, 0.2, 0.5)], abs=1e-12)
+    found = [r.products for r in concentration.items_for_share(items, "revenue", (0.5, 0.8)).collect()]
+    so_far = np.cumsum(value) / value.sum()
+    assert found == [int((so_far <= t).sum()) + 1 for t in (0.5, 0.8)]

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwork.functions.columns import from_units, money_units, ratio
-from tillwork.operators.quantiles import order_bucket
+from tillwork.operators.quantiles import PARTS, order_bucket
 from tillwork.operators.running import running_total
 
 
@@ -49,19 +49,44 @@ def _ranked_values(items: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
     return amounts, buckets
 
 
-def _inside(amounts: DataFrame, hits: DataFrame, label: str) -> DataFrame:
-    """Distinct amounts of the hit buckets with what lies above each of them."""
-    down = W.partitionBy(label).orderBy(F.desc("amount")).rowsBetween(
-        W.unboundedPreceding, W.currentRow)
+def _totalled(rows: DataFrame, label: str, order: str, n: str, amount: str) -> DataFrame:
+    """What lies above each row and above or in it, largest first: n_before, n_to, sum_before, sum_to."""
+    down = W.partitionBy(label).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        amounts.join(hits.withColumnRenamed("bucket", "_hit"), F.col("bucket").eqNullSafe(F.col("_hit")))
-        .withColumn("n_to", F.col("n_above") + F.sum("n").over(down))
-        .withColumn("sum_to", F.col("sum_above") + F.sum(F.col("n") * F.col("amount")).over(down))
-        .withColumn("n_before", F.col("n_to") - F.col("n"))
-        .withColumn("sum_before", F.col("sum_to") - F.col("n") * F.col("amount"))
+        rows.withColumn("n_to", F.col("n_above") + F.sum(n).over(down))
+        .withColumn("sum_to", F.col("sum_above") + F.sum(amount).over(down))
+        .withColumn("n_before", F.col("n_to") - F.col(n))
+        .withColumn("sum_before", F.col("sum_to") - F.col(amount))
     )
 
 
+def _crowd(amounts: DataFrame, hits: DataFrame, label: str, aim: str, holds: Column) -> DataFrame:
+    """Distinct amounts of that part of each hit bucket which ``holds`` the aim, with what lies above the part.
+
+    The bucket is cut into equal parts of its own range, whose counts and sums are added up before any
+    window, so a bucket may hold any number of amounts.
+    """
+    found = amounts.join(hits.withColumnRenamed("bucket", "_hit"), F.col("bucket").eqNullSafe(F.col("_hit")))
+    edges = found.groupBy(F.col(label).alias("_edge")).agg(F.min("amount").alias("_lo"), F.max("amount").alias("_hi"))
+    share = F.try_divide((F.col("amount") - F.col("_lo")).cast("double"), (F.col("_hi") - F.col("_lo")).cast("double"))
+    placed = found.join(edges, F.col(label).eqNullSafe(F.col("_edge"))).withColumn(
+        "_part", F.floor(F.coalesce(share, F.lit(0.0)) * PARTS)).drop("_edge", "_lo", "_hi")
+    parts = placed.groupBy(label, "_part").agg(
+        F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("amount")).alias("_sum"),
+        *[F.first(c).alias(c) for c in ("n_above", "sum_above", aim)])
+    hit = _totalled(parts, label, "_part", "_n", "_sum").where(holds).select(
+        F.col(label).alias("_of"), F.col("_part").alias("_in"), F.col("n_before").alias("n_above"),
+        F.col("sum_before").alias("sum_above"))
+    same = F.col(label).eqNullSafe(F.col("_of")) & F.col("_part").eqNullSafe(F.col("_in"))
+    return placed.drop("n_above", "sum_above").join(hit, same)
+
+
+def _inside(amounts: DataFrame, hits: DataFrame, label: str, aim: str, holds: Column) -> DataFrame:
+    """The distinct amount of each hit bucket that ``holds`` the aim, with what lies above it."""
+    crowd = _crowd(amounts, hits, label, aim, holds).withColumn("_sum", F.col("n") * F.col("amount"))
+    return _totalled(crowd, label, "amount", "n", "_sum").where(holds)
+
+
 def pareto_top_share(items: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
     """Share of the total held by the top p of the items, k = max(1, half-even(p * n))."""
     amounts, buckets = _ranked_values(items, value)
@@ -71,9 +96,9 @@ def pareto_top_share(items: DataFrame, value: str, shares: Sequence[float]) -> D
         buckets.withColumn("_a", F.explode(asked)).select("*", "_a.*")
         .where((F.col("k") > F.col("n_above")) & (F.col("k") <= F.col("n_until")))
     )
+    holds = (F.col("k") > F.col("n_before")) & (F.col("k") <= F.col("n_to"))
     return (
-        _inside(amounts, hits, "top")
-        .where((F.col("k") > F.col("n_before")) & (F.col("k") <= F.col("n_to")))
+        _inside(amounts, hits, "top", "k", holds)
         .select("top", F.col("k").alias("customers"),
                 ratio(F.col("sum_before") + (F.col("k") - F.col("n_before")) * F.col("amount"),
                       F.col("total")).alias("revenue_share"))
@@ -95,9 +120,9 @@ def items_for_share(items: DataFrame, value: str, shares: Sequence[float]) -> Da
         .where((F.col("sum_above") <= F.col("goal")) & (F.col("sum_until") > F.col("goal")))
     )
     fitting = F.floor(F.try_divide(F.col("goal") - F.col("sum_before"), F.col("amount")))
+    holds = (F.col("sum_before") <= F.col("goal")) & (F.col("sum_to") > F.col("goal"))
     return (
-        _inside(amounts, hits, "share")
-        .where((F.col("sum_before") <= F.col("goal")) & (F.col("sum_to") > F.col("goal")))
+        _inside(amounts, hits, "share", "goal", holds)
         .withColumn("products", (F.col("n_before") + fitting + 1).cast("bigint"))
         .select("share", "products",
                 (ratio(F.col("products"), F.col("items")) * 100).alias("pct_of_catalogue"))
