@@ -155,3 +155,17 @@ def test_whole_run_from_exports(spark, files, tmp_path):
     ledger = {r.rule: r.rows for r in spark.read.json(str(tmp_path / "reports/cleaning/cleaning_ledger")).collect()}
     assert ledger["rows_in"] == 4 and ledger["cancellation"] == 1 and ledger["rows_out"] == 3
     assert spark.read.parquet(f"{s.folder}/audited").count() == 4
+
+
+def test_file_order_sends_no_rows_by_file(spark, tmp_path):
+    spark.range(40).repartition(3).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = parts.with_file_order(df)
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan  # rows of a file never gather in one task
+    assert numbered.select("rid").distinct().count() == 40
