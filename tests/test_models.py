@@ -110,6 +110,18 @@ def test_silhouettes(cloud, monkeypatch):
         assert {k: got[k] for k in want} == pytest.approx(want)
 
 
+def test_silhouettes_compare_equal_points_once(cloud, monkeypatch):
+    df, xs, dist = cloud
+    thrice = df.withColumn("_n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    monkeypatch.setattr(pairwise, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(pairwise, "TILE_ROWS", 16)
+    seen, plain = [], pairwise.block_sums
+    monkeypatch.setattr(pairwise, "block_sums", lambda packs, blocks, offsets: seen.append(blocks) or plain(packs, blocks, offsets))
+    got = pairwise.silhouettes(thrice, ["blob"])["blob"]
+    assert got == pytest.approx(_silhouette(np.repeat(np.repeat(dist, 3, 0), 3, 1), np.repeat(np.arange(210) // 70, 3)))
+    assert seen == [5]  # 210 different points
+
+
 @pytest.mark.parametrize("leaf, depth", [(16, 20), (16, 2)])  # leaves by size; crowded leaves dealt into parts
 def test_bandwidths(spark, cloud, monkeypatch, leaf, depth):
     monkeypatch.setattr(bandwidth, "LEAF", leaf)
@@ -164,6 +176,37 @@ def test_mean_shift(cloud):
     assert got["ms_1"].nunique() == 3
 
 
+def test_mean_shift_leaves_resting_seeds_alone(cloud, monkeypatch):
+    sizes, plain = [], meanshift._written
+
+    def written(table):
+        out = plain(table)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(meanshift, "_written", written)
+    seeds = meanshift.shift_seeds(cloud[0], {0.1: 1.1, 0.2: 2.4})
+    first, *rounds, last = sizes
+    assert last == first == seeds.count() and seeds.filter("not rest").isEmpty()
+    assert rounds == sorted(rounds, reverse=True) and rounds[-1] < first
+
+
+def test_kmeans_vectors_are_kept_by_the_fit(cloud, monkeypatch):
+    df = cloud[0].selectExpr("customer_id", "1 + abs(x[0]) AS recency", "1 + abs(x[1]) AS frequency", "1 + abs(x[2]) AS revenue",
+                             "noise AS premium")
+
+    class Seen(Exception):
+        pass
+
+    def fit(vectors, *args, **kwargs):
+        raise Seen(vectors.storageLevel.useMemory)
+
+    monkeypatch.setattr(segment, "kmeans_best", fit)
+    with pytest.raises(Seen) as found:
+        segment.run_segmentation(df)
+    assert found.value.args == (False,)
+
+
 def test_silhouettes_take_gaps_between_labels(cloud):
     df, _, _ = cloud
     gaps = df.withColumn("wide", F.col("blob") * 2 + 1)

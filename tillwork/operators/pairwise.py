@@ -1,83 +1,118 @@
 """Exact measures over all pairs of points, added up block by block.
 
-The points are hashed into blocks of a bounded size. A task compares one block with one
-other block in NumPy and returns one row of partial sums per point, so pairs of points
-are never rows. The work is quadratic by definition; the memory of a task is not.
+Equal points are collapsed into weights and hashed into blocks of a bounded size, one row per block.
+Each pair of blocks is compared once, tile by tile in NumPy, and adds to the sums of the points of both,
+so pairs of points are never rows. The work is quadratic by definition; the memory of a task is not.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 2048
+from tillwork.session import shared_folder
 
+BLOCK_ROWS = 4096
+TILE_ROWS = 512  # a tile of distances stays in the processor's cache
 
-def _distance_kernel() -> Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]:
-    """A local function, so that it is sent to workers by value: they need not have
-    this package installed."""
-    def distances(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-        a, b = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
-        squares = np.zeros((len(a), len(b)))
-        for d in range(a.shape[1]):
-            squares += (a[:, d, None] - b[None, :, d]) ** 2
-        return np.sqrt(squares)
 
-    return distances
+def _written(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/pairwise/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def block_sums(left: DataFrame, right: DataFrame, n: int, key: str,
-               kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-               by: Sequence[str], sums: int) -> DataFrame:
-    """Add up ``kernel(left block, right block)`` over all right blocks.
+def _kernel(offsets: np.ndarray, tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A local function, so that it is sent to workers by value: they need not have this package installed.
 
-    The kernel returns the columns ``by`` (bigint) and s0..s{sums-1} (double).
+    For a pair of blocks, the summed distance of every point of both to every group of the other block.
     """
-    blocks = max(1, math.ceil(n / BLOCK_ROWS))
-    home = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    # Two explicit hash shuffles on the same keys and count, which cogroup then reuses.
-    lhs = left.withColumn("_l", home).withColumn("_r", others)
-    rhs = right.withColumn("_r", home).withColumn("_l", others)
-    names = [f"s{i}" for i in range(sums)]
-    schema = ", ".join([f"{c} bigint" for c in by] + [f"{c} double" for c in names])
-    partial = lhs.groupBy("_l", "_r").cogroup(rhs.groupBy("_l", "_r")).applyInPandas(kernel, schema)
-    return partial.groupBy(*by).agg(F.array(*[F.sum(c) for c in names]).alias("sums"))
+    width = int(offsets[-1])
+
+    def unpacked(points):
+        x, labels = points.field("x"), points.field("labels")
+        w = np.asarray(points.field("w"), float)
+        at = np.asarray(labels.flatten()).reshape(len(w), -1) + offsets[:-1]
+        member = np.zeros((len(w), width))
+        np.put_along_axis(member, at, w[:, None], axis=1)
+        return np.ascontiguousarray(np.asarray(x.flatten(), float).reshape(len(w), -1).T), member
+
+    def sums(block, found):
+        columns = [pa.array(np.full(len(found), block, np.int32)), pa.array(np.arange(len(found), dtype=np.int32))]
+        return pa.record_batch([*columns, *[pa.array(c) for c in found.T]], ["block", "place", *[f"s{i}" for i in range(width)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far, square = np.empty((tile, tile)), np.empty((tile, tile))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                l, r = batch.column("l")[i].as_py(), batch.column("r")[i].as_py()
+                a, of_a = unpacked(batch.column("left")[i].values)
+                b, of_b = unpacked(batch.column("right")[i].values) if l != r else (a, of_a)
+                to_b, to_a = np.zeros(of_a.shape), np.zeros(of_b.shape)
+                for s in range(0, a.shape[1], tile):
+                    for t in range(s if l == r else 0, b.shape[1], tile):
+                        m, n = min(tile, a.shape[1] - s), min(tile, b.shape[1] - t)
+                        d, e = far[:m, :n], square[:m, :n]
+                        for c in range(len(a)):
+                            np.subtract(a[c, s:s + m, None], b[c, None, t:t + n], out=e)
+                            if c:
+                                np.multiply(e, e, out=e)
+                                d += e
+                            else:
+                                np.multiply(e, e, out=d)
+                        np.sqrt(d, out=d)
+                        to_b[s:s + m] += d @ of_b[t:t + n]
+                        if l != r:
+                            to_a[t:t + n] += d.T @ of_a[s:s + m]
+                        elif s != t:
+                            to_b[t:t + n] += d.T @ of_a[s:s + m]
+                yield sums(l, to_b)
+                if l != r:
+                    yield sums(r, to_a)
+
+    return run
+
+
+def block_sums(packs: DataFrame, blocks: int, offsets: np.ndarray) -> DataFrame:
+    """Rows (block, place, sums): the summed distance of every packed point to every group, all blocks added up."""
+    # Every pair of blocks meets once, the smaller number on the left.
+    left = packs.select(F.col("block").alias("l"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("r"),
+                        F.col("points").alias("left"))
+    right = packs.select(F.explode(F.sequence(F.lit(0), F.col("block"))).alias("l"), F.col("block").alias("r"),
+                         F.col("points").alias("right"))
+    names = [f"s{i}" for i in range(int(offsets[-1]))]
+    # A fixed number of partitions: joined by size, a few rows of much work would share a task.
+    tasks = min(blocks * (blocks + 1) // 2, 8 * int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = left.join(right, ["l", "r"]).repartition(tasks, "l", "r")
+    schema = ", ".join(["block int", "place int", *[f"{c} double" for c in names]])
+    partial = pairs.mapInArrow(_kernel(offsets, TILE_ROWS), schema)
+    return partial.groupBy("block", "place").agg(F.array(*[F.sum(c) for c in names]).alias("sums"))
 
 
 # Silhouette -----------------------------------------------------------------------------
 
-def silhouettes(points: DataFrame, labels: Sequence[str], key: str = "customer_id") -> dict[str, float | None]:
+def silhouettes(points: DataFrame, labels: Sequence[str]) -> dict[str, float | None]:
     """Mean Euclidean silhouette of several labelings of the same points, in one pass.
 
     Distances are computed once; each labeling only adds a small matrix product. A
     labeling with a single group has none. Labels are numbers from 0 on; gaps are empty groups.
     """
-    packed = points.select(key, "x", F.array(*[F.col(c).cast("int") for c in labels]).alias("labels"))
+    marked = points.select("x", F.array(*[F.col(c).cast("int") for c in labels]).alias("labels"))
+    packed = marked.groupBy("x", "labels").agg(F.count("*").alias("w"))
     sizes = _cluster_sizes(packed, len(labels))
     offsets = np.concatenate([[0], np.cumsum([len(s) for s in sizes])]).astype(int)
-    width, n = int(offsets[-1]), sum(sizes[0])
-    distances = _distance_kernel()
-
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [f"s{i}" for i in range(width)]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=[key, *names])
-        member = np.zeros((len(right), width))
-        lab = np.stack(right["labels"].to_numpy())
-        for j in range(lab.shape[1]):
-            member[np.arange(len(right)), offsets[j] + lab[:, j]] = 1.0
-        out = pd.DataFrame(distances(left, right) @ member, columns=names)
-        out.insert(0, key, left[key].to_numpy())
-        return out
-
-    sums = block_sums(packed.select(key, "x"), packed, n, key, kernel, [key], width)
-    scored = sums.join(packed.select(key, "labels"), key)
+    blocks = max(1, math.ceil(packed.count() / BLOCK_ROWS))
+    home = F.pmod(F.xxhash64("x", "labels"), F.lit(blocks)).cast("int").alias("block")
+    packs = _written(packed.groupBy(home).agg(F.collect_list(F.struct("x", "labels", "w")).alias("points")))
+    placed = packs.select("block", F.posexplode("points").alias("place", "p")).select("block", "place", "p.labels", "p.w")
+    scored = block_sums(packs, blocks, offsets).join(placed, ["block", "place"])
     means = [_mean_silhouette(j, sizes[j], int(offsets[j])).alias(f"m{j}") for j in range(len(labels))]
     row = scored.agg(*means).first()
     return {c: row[f"m{j}"] for j, c in enumerate(labels)}
@@ -85,8 +120,8 @@ def silhouettes(points: DataFrame, labels: Sequence[str], key: str = "customer_i
 
 def _cluster_sizes(packed: DataFrame, labelings: int) -> list[list[int]]:
     rows = (
-        packed.select(F.posexplode("labels").alias("labeling", "cluster"))
-        .groupBy("labeling", "cluster").agg(F.count("*").alias("n")).collect())
+        packed.select("w", F.posexplode("labels").alias("labeling", "cluster"))
+        .groupBy("labeling", "cluster").agg(F.sum("w").alias("n")).collect())
     out = [dict() for _ in range(labelings)]
     for r in rows:
         out[r.labeling][r.cluster] = r.n
@@ -104,4 +139,5 @@ def _mean_silhouette(labeling: int, sizes: list[int], offset: int) -> Column:
         lambda c: F.when((c != own) & (F.get(size, c) > 0), F.get("sums", c + offset) / F.get(size, c)))
     far = F.array_min(to_others)
     width = F.try_divide(far - near, F.greatest(near, far))
-    return F.avg(F.when(size[own] == 1, 0.0).otherwise(F.coalesce(width, F.lit(0.0))))
+    each = F.when(size[own] == 1, 0.0).otherwise(F.coalesce(width, F.lit(0.0)))
+    return F.sum(each * F.col("w")) / F.sum("w")
