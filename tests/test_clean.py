@@ -130,3 +130,27 @@ def test_large_quantities_and_fractional_prices(sales):
     head = clean.sales_headline(clean.clean_sales(clean.audit_sales(df))).first()
     assert head.revenue == pytest.approx(80995 * 2.08 + 0.003, abs=1e-9)
     assert pd.notna(head.invoices)
+
+
+def test_rows_are_judged_as_by_brute_force(sales):
+    """Only rows that a cancellation names are searched; nulls in keys and copies change nothing."""
+    rng = random.Random(8)
+    start, rows = datetime(2000, 1, 1), []
+    for rid in range(600):
+        cancel = rng.random() < 0.2
+        quantity, price = rng.choice([1, 2]), rng.choice([0.0, -0.0, 2.0, None])
+        rows.append((rid, ("C" if cancel else "") + str(rid), rng.choice(["10000", None]), -quantity if cancel else quantity,
+                     (start + timedelta(hours=rng.randrange(24 * 20))).isoformat(), price, rng.choice([1, 2, 3, None])))
+    copies = [(1000 + r[0], *r[1:]) for r in rows[::7]]
+    audited = clean.audit_sales(sales(*rows, *copies))
+    assert sorted(r.rid for r in audited.where("rule = 'annulled_sale'").collect()) == brute_force(rows)
+    assert audited.count() == len(rows)
+
+
+def test_few_rows_are_searched(sales):
+    """Rows whose keys no cancellation has are neither searched nor joined by row id."""
+    lines = [(i, str(i), f"{10000 + i}", 1, "2000-01-01T10:00", 2.0, 7) for i in range(500)]
+    cancels = [(900 + i, f"C{i}", f"{10000 + i}", -1, "2000-01-02T10:00", 2.0, 7) for i in range(5)]
+    unknown = [(950, "C950", "10300", -1, "2000-01-02T10:00", 2.0, None)]
+    named = {r.rid for r in clean.with_named(sales(*lines, *cancels, *unknown)).where("named").collect()}
+    assert named == {*range(5), *range(900, 905)}

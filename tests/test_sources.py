@@ -6,6 +6,7 @@ from tillwork.params import Params
 from tillwork.plans.reports import write_reports
 from tillwork.plans.stages import from_exports
 from tillwork.sources import load, parts
+from tillwork.sources.sinks import write_table
 
 CSV = """Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country
 489434,85048,15CM BALL,12,2009-12-01 07:45:00,6.95,13085,Here
@@ -169,3 +170,17 @@ def test_file_order_sends_no_rows_by_file(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan  # rows of a file never gather in one task
     assert numbered.select("rid").distinct().count() == 40
+
+
+def test_tables_are_written_without_moving_rows(spark, tmp_path):
+    """Each file holds rows of one task, in the order of the cluster columns."""
+    df = spark.range(0, 4000, 1, 4).select(
+        "id", (F.col("id") % 2).alias("kind"), (F.col("id") * 7 % 100).alias("month"), F.spark_partition_id().alias("task"))
+    write_table(df, str(tmp_path / "t"), ["kind"], ["month"])
+    rows = spark.read.parquet(str(tmp_path / "t")).withColumns(
+        {"file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")})
+    tasks = rows.groupBy("file").agg(F.countDistinct("task").alias("n"), F.array_agg("row"))
+    assert {r.n for r in tasks.collect()} == {1}
+    for file in {r.file for r in rows.select("file").collect()}:
+        months = [r.month for r in rows.where(F.col("file") == file).orderBy("row").collect()]
+        assert months == sorted(months)

@@ -12,11 +12,13 @@ from tillwork.functions.columns import (
 )
 from tillwork.operators.quantiles import exact_quantiles
 from tillwork.params import BUSINESS_COLUMNS, PRODUCT_EXCEPTIONS
+from tillwork.session import shared_folder
 
 # Rules in the order they are applied; a row carries the first one it fails.
 RULES = ("exact_duplicate", "annulled_sale", "cancellation", "non_positive", "non_product")
 KEPT = "kept"
 MATCH_KEYS = ("customer_id", "stock_code", "match_price", "match_quantity")
+KEY_BITS = 1 << 28
 
 
 def invoice_prefixes(raw: DataFrame) -> DataFrame:
@@ -40,16 +42,49 @@ def code_normalization_audit(raw: DataFrame) -> DataFrame:
     )
 
 
-def drop_exact_duplicates(df: DataFrame) -> DataFrame:
+def drop_exact_duplicates(df: DataFrame, *derived: str) -> DataFrame:
     """Keep the first of identical rows, with the number of copies.
 
     A grouped minimum instead of a window: copies collapse on the map side, so a row
-    repeated any number of times never gathers in one task.
+    repeated any number of times never gathers in one task. ``derived`` columns, which
+    follow from the others, are kept too.
     """
-    return df.groupBy(*BUSINESS_COLUMNS).agg(
+    return df.groupBy(*BUSINESS_COLUMNS, *derived).agg(
         F.min("rid").alias("rid"), F.count("*").alias("copies"))
 
 
+def _match_keys() -> dict[str, Column]:
+    """What a cancellation and its sale share, by name."""
+    quantity = F.col("quantity")
+    return {
+        "customer_id": F.col("customer_id"), "stock_code": F.col("stock_code"),
+        # Equal prices have equal text. A floating key would be normalised anew by
+        # every window and grouping, each with a shuffle of its own.
+        "match_price": (F.col("price") + 0.0).cast("string"),
+        "match_quantity": F.when(is_cancellation(F.col("invoice")), -quantity).otherwise(quantity)}
+
+
+def with_named(df: DataFrame) -> DataFrame:
+    """Add ``named``: whether a cancellation of a known customer may have the keys of the row.
+
+    One bit per hash of a cancellation's keys, in at most ``KEY_BITS`` bits (32 MB), so the
+    table of bits is broadcast whatever the input. True for every cancellation and every sale
+    that one can reverse, and for the few rows whose hash meets a set bit by chance; the
+    search decides. A checkpoint, so that the plans that use it stay short.
+    """
+    shared_folder(df.sparkSession)
+    place = F.pmod(F.xxhash64(*_match_keys().values()), F.lit(KEY_BITS))
+    cancels = df.where(F.col("customer_id").isNotNull() & is_cancellation(F.col("invoice")))
+    bits = cancels.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits")).checkpoint()
+    position = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    named = F.getbit(byte, (position % 8).cast("int")) == 1
+    return (
+        df.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_bucket"), "left")
+        .withColumn("named", F.coalesce(named, F.lit(False))).drop("_bucket", "_bits"))
+
+
 def annulled_sales(df: DataFrame, bucket: str = "day") -> DataFrame:
     """Row ids of sales that a later cancellation reverses.
 
@@ -67,11 +102,7 @@ def annulled_sales(df: DataFrame, bucket: str = "day") -> DataFrame:
     known = F.col("customer_id").isNotNull()
     instants = (
         df.select(
-            "customer_id", "stock_code", "invoice_ts",
-            # Equal prices have equal text. A floating key would be normalised anew by
-            # every window and grouping, each with a shuffle of its own.
-            (F.col("price") + 0.0).cast("string").alias("match_price"),
-            F.when(cancel, -F.col("quantity")).otherwise(F.col("quantity")).alias("match_quantity"),
+            *[c.alias(name) for name, c in _match_keys().items()], "invoice_ts",
             F.when(known & ~cancel, F.col("rid")).alias("sale"),
             (known & cancel).alias("cancels"))
         .withColumn("bucket", F.date_trunc(bucket, "invoice_ts"))
@@ -82,18 +113,20 @@ def annulled_sales(df: DataFrame, bucket: str = "day") -> DataFrame:
         W.unboundedPreceding, W.currentRow)
     searched = instants.withColumn("found", F.last("sale", ignorenulls=True).over(in_bucket))
 
-    same_bucket = searched.where("cancels AND found IS NOT NULL").select(F.col("found").alias("rid"))
-
     before = W.partitionBy(*MATCH_KEYS).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    earlier_bucket = (
+    # The sales found inside a bucket are handed on beside its last sale, so that the instants
+    # are read once; they are distinct instants of one key and bucket.
+    inside = F.col("cancels") & F.col("found").isNotNull()
+    return (
         searched.groupBy(*MATCH_KEYS, "bucket")
         .agg(F.max_by("found", F.when(F.col("found").isNotNull(), F.col("invoice_ts"))).alias("last_sale"),
-             F.max(F.col("cancels") & F.col("found").isNull()).alias("searching"))
-        .withColumn("found", F.last("last_sale", ignorenulls=True).over(before))
-        .where("searching AND found IS NOT NULL")
-        .select(F.col("found").alias("rid"))
+             F.max(F.col("cancels") & F.col("found").isNull()).alias("searching"),
+             F.collect_set(F.when(inside, F.col("found"))).alias("found_inside"))
+        .withColumn("earlier", F.last("last_sale", ignorenulls=True).over(before))
+        .select(F.explode(F.array_compact(F.concat(
+            "found_inside", F.array(F.when(F.col("searching"), F.col("earlier")))))).alias("rid"))
+        .distinct()
     )
-    return same_bucket.unionByName(earlier_bucket).distinct()
 
 
 def first_failed_rule(annulled: Column) -> Column:
@@ -112,14 +145,19 @@ def audit_sales(raw: DataFrame) -> DataFrame:
     One plan instead of one pass per rule; every count and every rejected row can be
     read back from the result.
     """
-    rows = drop_exact_duplicates(normalize_codes(raw))
-    # The condition always holds; it makes both branches need the number of copies, so
-    # that they share one shuffle of the rows instead of de-duplicating twice.
-    annulled = annulled_sales(rows.where(F.col("copies") > 0)).withColumn("annulled", F.lit(True))
+    rows = drop_exact_duplicates(with_named(normalize_codes(raw)), "named")
+    # The number of copies is always positive; it keeps the condition above the grouping, so
+    # that all three uses of the rows share one shuffle instead of de-duplicating anew.
+    named = F.when(F.col("copies") > 0, F.col("named"))
+    # Only rows that some cancellation may reverse are searched and joined.
+    candidates = rows.where(named)
+    annulled = annulled_sales(candidates).withColumn("annulled", F.lit(True))
+    judged = candidates.join(annulled, "rid", "left").withColumn("annulled", F.coalesce("annulled", F.lit(False)))
+    others = rows.where(~named).withColumn("annulled", F.lit(False))
     return (
-        rows.join(annulled, "rid", "left")
-        .withColumn("rule", first_failed_rule(F.coalesce("annulled", F.lit(False))))
-        .drop("annulled")
+        judged.unionByName(others)
+        .withColumn("rule", first_failed_rule(F.col("annulled")))
+        .drop("annulled", "named")
         .withColumn("sales_month", month_start(F.col("invoice_ts")))
     )
 

@@ -9,32 +9,37 @@ from tillwork.sources.parts import with_file_order
 
 # Which extra copies of a line exist: 1 = exact duplicate, 2 = cancellation.
 _KINDS = """filter(array(0, 1, 2), x -> x = 0 OR (x = 1 AND k = 8)
-                   OR (x = 2 AND l_returnflag = 'R' AND k % 4 = 0 AND k <> 8))"""
+                   OR (x = 2 AND returned AND k % 4 = 0 AND k <> 8))"""
 
 
 def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view of FIXTURES.md section 3. Row ids follow the order of the lines in the file."""
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    lines = with_file_order(table("lineitem"), "line_no").select(
-        "line_no", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag")
-    joined = (
-        lines
-        .join(table("orders").select("o_orderkey", "o_custkey", "o_orderdate"),
-              F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table("part").select("p_partkey", "p_name", "p_retailprice"),
-              F.col("l_partkey") == F.col("p_partkey"))
+    # All that is needed of a line, as numbers: lines are many, and joins that do not broadcast move them.
+    lines = with_file_order(table("lineitem"), "line_no").selectExpr(
+        "line_no", "l_orderkey", "l_partkey", "CAST(l_quantity AS BIGINT) AS quantity",
+        "CAST((l_orderkey * 7 + l_linenumber * 13 + l_partkey) % 100 AS INT) AS k", "l_returnflag = 'R' AS returned")
+    # Orders get their country before they meet the lines, so that lines are moved twice, not three times.
+    sold = (
+        table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         .join(table("customer").select("c_custkey", "c_nationkey"),
               F.col("o_custkey") == F.col("c_custkey"))
         .join(table("nation").select("n_nationkey", "n_name"),
               F.col("c_nationkey") == F.col("n_nationkey"))
+        .select("o_orderkey", "o_custkey", "o_orderdate", "n_name")
+    )
+    joined = (
+        lines
+        .join(table("part").select("p_partkey", "p_name", "p_retailprice"),
+              F.col("l_partkey") == F.col("p_partkey"))
+        .join(sold, F.col("l_orderkey") == F.col("o_orderkey"))
     )
     return (
         joined
-        .withColumn("k", F.expr("(l_orderkey * 7 + l_linenumber * 13 + l_partkey) % 100"))
         .withColumn("kind", F.explode(F.expr(_KINDS)))
         .withColumn("code", F.expr("""concat(lpad(CAST(p_partkey AS STRING), 5, '0'),
             CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE '' END)"""))
-        .withColumn("qty", F.expr("""CAST(l_quantity AS BIGINT) *
+        .withColumn("qty", F.expr("""quantity *
             CASE WHEN k = 7 THEN -1 ELSE 1 END * CASE WHEN kind = 2 THEN -1 ELSE 1 END"""))
         .withColumn("hours", F.expr("""8 + l_orderkey % 10 +
             CASE WHEN kind <> 2 THEN 0 WHEN k % 8 = 4 THEN -72 ELSE 72 END"""))
