@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -5,6 +7,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import functions as F
 
 from tillwork.operators import bandwidth, classify, forecast, meanshift, pairwise, scaling, segment
+from tillwork.operators.tuning import run_parallel
 from tillwork.params import PREDICTORS
 
 RNG = np.random.default_rng(5)
@@ -288,3 +291,14 @@ def test_forecast_metric_definitions(spark):
     row = forecast.forecast_metrics(df).first()
     assert row.mae == pytest.approx(5 / 3) and row.rmse == pytest.approx((13 / 3) ** 0.5)
     assert row.r2 == pytest.approx(1 - 13 / 200) and row.total_error_pct == pytest.approx((59 / 60 - 1) * 100)
+
+
+def test_parallel_fits_share_no_local_properties(spark):
+    together = threading.Barrier(4, timeout=60)
+
+    def one(i):
+        spark.sparkContext.setLocalProperty("test.fit", str(i))
+        together.wait()
+        return spark.sparkContext.getLocalProperty("test.fit")
+
+    assert run_parallel(spark, one, range(4), 4) == ["0", "1", "2", "3"]

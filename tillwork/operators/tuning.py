@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def run_parallel(spark: SparkSession, fn: Callable, tasks: Sequence, parallelism: int) -> list:
-    """Call ``fn`` for every task from a few driver threads; each call starts Spark jobs."""
+    """Call ``fn`` for every task from a few driver threads; each call starts Spark jobs.
+
+    Each call has local properties of its own: Spark notes the running query in them, and threads
+    that share them remove each other's note ("Cannot parse null string").
+    """
+    calls = [(inheritable_thread_target(spark)(fn), task) for task in tasks]
     with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
-        return pool.map(inheritable_thread_target(spark)(fn), tasks, chunksize=1)
+        return pool.map(lambda call: call[0](call[1]), calls, chunksize=1)
 
 
 def mean_and_std(scores: Sequence[float]) -> tuple[float, float]:
