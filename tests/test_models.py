@@ -145,6 +145,30 @@ def test_bandwidth_compares_few_leaves(spark, cloud, monkeypatch):
     assert bandwidth.leaf_pairs(links, [5]).count() < 0.3 * n * n
 
 
+def test_bandwidth_needs_few_rounds(spark, cloud, monkeypatch):
+    """Distances are found, not narrowed down to a width, and the guess leaves little to search."""
+    _, xs, _ = cloud
+    df = spark.createDataFrame([([float(v) for v in x],) for x in xs], "x array<double>")
+    rounds, plain = [], bandwidth._search
+    monkeypatch.setattr(bandwidth, "_search", lambda *args: rounds.append(1) or plain(*args))
+    ordered = np.sort(np.sqrt(((xs[:, None] - xs[None]) ** 2).sum(-1)), axis=1)
+    want = {q: ordered[:, max(1, int(len(xs) * q)) - 1].mean() for q in (0.05, 0.3)}
+    assert bandwidth.estimate_bandwidths(df, list(want)) == pytest.approx(want, abs=1e-12)
+    assert len(rounds) < 4
+
+
+def test_bandwidth_guess_never_changes_the_result(spark, cloud, monkeypatch):
+    """Brackets that miss the distance are moved until it is found."""
+    _, xs, _ = cloud
+    df = spark.createDataFrame([([float(v) for v in x],) for x in xs], "x array<double>")
+    plain = bandwidth.guessed
+    off = F.transform("low", lambda v: v + 0.05)
+    monkeypatch.setattr(bandwidth, "guessed", lambda *args: plain(*args).withColumns({"low": off, "high": off}))
+    ordered = np.sort(np.sqrt(((xs[:, None] - xs[None]) ** 2).sum(-1)), axis=1)
+    want = {q: ordered[:, max(1, int(len(xs) * q)) - 1].mean() for q in (0.05, 0.3)}
+    assert bandwidth.estimate_bandwidths(df, list(want)) == pytest.approx(want, abs=1e-9)
+
+
 def test_bandwidth_of_equal_points(spark):
     df = spark.createDataFrame([([1.0, 2.0],)] * 9, "x array<double>")
     assert bandwidth.estimate_bandwidths(df, [0.1, 1.0]) == {0.1: 0.0, 1.0: 0.0}
