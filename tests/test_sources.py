@@ -184,3 +184,26 @@ def test_tables_are_written_without_moving_rows(spark, tmp_path):
     for file in {r.file for r in rows.select("file").collect()}:
         months = [r.month for r in rows.where(F.col("file") == file).orderBy("row").collect()]
         assert months == sorted(months)
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    import time
+
+    from tillwork.session import shuffles_released
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    counted = lambda n: spark.range(n).groupBy((F.col("id") % 7).alias("k")).count()
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffled(), spark.conf.get(conf, None)
+    write_table(counted(1000), f"{tmp_path}/counted")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert spark.read.parquet(f"{tmp_path}/counted").agg(F.sum("count")).first()[0] == 1000
+    with shuffles_released(spark):
+        write_table(counted(10), f"{tmp_path}/few")
+        assert spark.conf.get(conf) == "true"  # of writes side by side the last one to end restores the setting
+    assert spark.conf.get(conf, None) == setting

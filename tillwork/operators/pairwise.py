@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.session import shared_folder
+from tillwork.session import shared_folder, shuffles_released
 
 BLOCK_ROWS = 4096
 TILE_ROWS = 512  # a tile of distances stays in the processor's cache
@@ -25,7 +25,8 @@ TILE_ROWS = 512  # a tile of distances stays in the processor's cache
 def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pairwise/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_released(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
