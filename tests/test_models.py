@@ -125,6 +125,35 @@ def test_silhouettes_compare_equal_points_once(cloud, monkeypatch):
     assert seen == [5]  # 210 different points
 
 
+def test_silhouettes_send_no_block_through_the_driver(cloud, monkeypatch):
+    """Copies of blocks are many; a packed table below the threshold says nothing about their size."""
+    df, _, dist = cloud
+    monkeypatch.setattr(pairwise, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(pairwise, "RUN", 2)
+    plans, plain = [], pairwise.block_sums
+
+    def block_sums(packs, blocks, offsets):
+        out = plain(packs, blocks, offsets)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(pairwise, "block_sums", block_sums)
+    for blocks in (11, 12):  # rings of odd and even length
+        points = df.limit(blocks * 20 - 10)
+        own = [r.customer_id for r in points.select("customer_id").collect()]
+        got = pairwise.silhouettes(points, ["blob"])["blob"]
+        assert got == pytest.approx(_silhouette(dist[np.ix_(own, own)], np.array(own) // 70))
+    assert len(plans) == 2 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_silhouettes_of_points_close_together(spark):
+    """Far from the origin and nearly equal, so that a product of matrices alone would lose their distances."""
+    xs = np.array([[1e3 + 1e-7 * (i % 7) * (1 + i // 20), 5.0 + (i // 20) * 1e-6, float(i == 59)] for i in range(60)])
+    df = spark.createDataFrame([([float(v) for v in x], i // 20) for i, x in enumerate(xs)], "x array<double>, blob int")
+    dist = np.sqrt(((xs[:, None] - xs[None]) ** 2).sum(-1))
+    assert pairwise.silhouettes(df, ["blob"])["blob"] == pytest.approx(_silhouette(dist, np.arange(60) // 20), abs=1e-6)
+
+
 @pytest.mark.parametrize("leaf, depth", [(16, 20), (16, 2)])  # leaves by size; crowded leaves dealt into parts
 def test_bandwidths(spark, cloud, monkeypatch, leaf, depth):
     monkeypatch.setattr(bandwidth, "LEAF", leaf)

@@ -2,7 +2,7 @@
 
 Equal points are collapsed into weights and hashed into blocks of a bounded size, one row per block.
 Each pair of blocks is compared once, tile by tile in NumPy, and adds to the sums of the points of both,
-so pairs of points are never rows. The work is quadratic by definition; the memory of a task is not.
+so pairs of points are never rows, and blocks never pass through the driver. The work is quadratic by definition; the memory of a task is not.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from tillwork.session import shared_folder, shuffles_released
 
-BLOCK_ROWS = 4096
-TILE_ROWS = 512  # a tile of distances stays in the processor's cache
+BLOCK_ROWS = 8192
+TILE_ROWS = 256  # a tile of distances stays in the processor's cache
+RUN = 8  # blocks a task compares with the one it holds
+CLOSE = 1e-6  # of a square: below, a product of matrices is not exact enough
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -33,68 +35,111 @@ def _written(df: DataFrame) -> DataFrame:
 def _kernel(offsets: np.ndarray, tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A local function, so that it is sent to workers by value: they need not have this package installed.
 
-    For a pair of blocks, the summed distance of every point of both to every group of the other block.
+    For a block and the blocks that follow it, the summed distance of every point of each to every group of the other.
     """
     width = int(offsets[-1])
 
-    def unpacked(points):
-        x, labels = points.field("x"), points.field("labels")
-        w = np.asarray(points.field("w"), float)
-        at = np.asarray(labels.flatten()).reshape(len(w), -1) + offsets[:-1]
+    def unpacked(batch, i):
+        w = np.asarray(batch.column("w")[i].values, float)
+        at = np.asarray(batch.column("labels")[i].values.flatten()).reshape(len(w), -1) + offsets[:-1]
         member = np.zeros((len(w), width))
         np.put_along_axis(member, at, w[:, None], axis=1)
-        return np.ascontiguousarray(np.asarray(x.flatten(), float).reshape(len(w), -1).T), member
+        return np.asarray(batch.column("x")[i].values, float).reshape(len(w), -1), member
+
+    def sums(key, block, found):
+        return pa.record_batch([pa.array([key], pa.int32()), pa.array([block], pa.int32()), pa.array([found.ravel()])], ["key", "block", "sums"])
+
+    def met(a, of_a, to_a, b, of_b, same):
+        """Add the distances of both blocks to the sums of ``a``; returns those of ``b``."""
+        centre = a.mean(0)
+        p, q = a - centre, b - centre
+        far_p, far_q = (p * p).sum(1), (q * q).sum(1)
+        # Squares by one product; where they are so small that its error would show, they are worked out again.
+        left, right = np.column_stack([-2 * p, far_p, np.ones(len(p))]), np.vstack([q.T, np.ones(len(q)), far_q])
+        small = CLOSE * (far_p.max() + far_q.max())
+        to_b, of_a_turned, whole = np.zeros(of_b.shape), np.ascontiguousarray(of_a.T), np.empty(tile * tile)
+        for s in range(0, len(a), tile):
+            for t in range(s if same else 0, len(b), tile):
+                m, n = min(tile, len(a) - s), min(tile, len(b) - t)
+                flat = whole[:m * n]
+                d = np.matmul(left[s:s + m], right[:, t:t + n], out=flat.reshape(m, n))
+                near = np.flatnonzero(flat <= small)
+                if len(near):
+                    away = a[s + near // n] - b[t + near % n]
+                    flat[near] = (away * away).sum(1)
+                np.sqrt(flat, out=flat)
+                to_a[s:s + m] += d @ of_b[t:t + n]
+                if not same:
+                    to_b[t:t + n] += (of_a_turned[:, s:s + m] @ d).T
+                elif s != t:
+                    to_a[t:t + n] += (of_a_turned[:, s:s + m] @ d).T
+        return to_b
 
-    def sums(block, found):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for i, (key, first, block) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("key", "first", "block")])):
+                points, member = unpacked(batch, i)
+                if first:
+                    if held:
+                        yield sums(*held[:2], held[4])
+                    held = key, block, points, member, np.zeros(member.shape)
+                    continue
+                of_b = met(*held[2:], points, member, block == held[1])
+                if block != held[1]:
+                    yield sums(key, block, of_b)
+        if held:
+            yield sums(*held[:2], held[4])
+
+    return run
+
+
+def _adder(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds up the sums of each block; rows of a block come side by side."""
+    def points(block, found):
+        found = found.reshape(-1, width)
         columns = [pa.array(np.full(len(found), block, np.int32)), pa.array(np.arange(len(found), dtype=np.int32))]
         return pa.record_batch([*columns, *[pa.array(c) for c in found.T]], ["block", "place", *[f"s{i}" for i in range(width)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        far, square = np.empty((tile, tile)), np.empty((tile, tile))
+        held, total = None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                l, r = batch.column("l")[i].as_py(), batch.column("r")[i].as_py()
-                a, of_a = unpacked(batch.column("left")[i].values)
-                b, of_b = unpacked(batch.column("right")[i].values) if l != r else (a, of_a)
-                to_b, to_a = np.zeros(of_a.shape), np.zeros(of_b.shape)
-                for s in range(0, a.shape[1], tile):
-                    for t in range(s if l == r else 0, b.shape[1], tile):
-                        m, n = min(tile, a.shape[1] - s), min(tile, b.shape[1] - t)
-                        d, e = far[:m, :n], square[:m, :n]
-                        for c in range(len(a)):
-                            np.subtract(a[c, s:s + m, None], b[c, None, t:t + n], out=e)
-                            if c:
-                                np.multiply(e, e, out=e)
-                                d += e
-                            else:
-                                np.multiply(e, e, out=d)
-                        np.sqrt(d, out=d)
-                        to_b[s:s + m] += d @ of_b[t:t + n]
-                        if l != r:
-                            to_a[t:t + n] += d.T @ of_a[s:s + m]
-                        elif s != t:
-                            to_b[t:t + n] += d.T @ of_a[s:s + m]
-                yield sums(l, to_b)
-                if l != r:
-                    yield sums(r, to_a)
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                more = np.asarray(batch.column("sums")[i].values)
+                if block == held:
+                    total += more
+                    continue
+                if held is not None:
+                    yield points(held, total)
+                held, total = block, more.copy()
+        if held is not None:
+            yield points(held, total)
 
     return run
 
 
 def block_sums(packs: DataFrame, blocks: int, offsets: np.ndarray) -> DataFrame:
-    """Rows (block, place, sums): the summed distance of every packed point to every group, all blocks added up."""
-    # Every pair of blocks meets once, the smaller number on the left.
-    left = packs.select(F.col("block").alias("l"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("r"),
-                        F.col("points").alias("left"))
-    right = packs.select(F.explode(F.sequence(F.lit(0), F.col("block"))).alias("l"), F.col("block").alias("r"),
-                         F.col("points").alias("right"))
-    names = [f"s{i}" for i in range(int(offsets[-1]))]
-    # A fixed number of partitions: joined by size, a few rows of much work would share a task.
-    tasks = min(blocks * (blocks + 1) // 2, 8 * int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = left.join(right, ["l", "r"]).repartition(tasks, "l", "r")
-    schema = ", ".join(["block int", "place int", *[f"{c} double" for c in names]])
-    partial = pairs.mapInArrow(_kernel(offsets, TILE_ROWS), schema)
-    return partial.groupBy("block", "place").agg(F.array(*[F.sum(c) for c in names]).alias("sums"))
+    """Rows (block, place, sums): the summed distance of every packed point to every group, all blocks added up.
+
+    The blocks form a ring. Each meets itself and the half of the ring that follows it, ``RUN`` blocks at a time: a row with
+    the block itself, then those it meets, are sent to one task. No join, so Spark cannot take the many copies of
+    a block for a table as small as the packed one and send them through the driver.
+    """
+    half, width = blocks // 2, int(offsets[-1])
+    runs = half // RUN + 1
+    own = packs.select(F.explode(F.sequence(F.col("block") * runs, F.col("block") * runs + runs - 1)).alias("key"), F.lit(True).alias("first"), *packs.columns)
+    after = packs.select("*", F.explode(F.sequence(F.lit(0), F.lit(half))).alias("step")).withColumn(
+        "l", F.pmod(F.col("block") - F.col("step"), F.lit(blocks)))
+    # On a ring of even length opposite blocks would meet twice.
+    met = after.where((F.col("step") * 2 < blocks) | (F.col("l") < half)).select(
+        (F.col("l") * runs + F.floor(F.col("step") / RUN)).cast("int").alias("key"), F.lit(False).alias("first"), *packs.columns)
+    most = 8 * int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = own.unionByName(met).repartition(min(blocks * runs, most), "key").sortWithinPartitions("key", F.desc("first"), "block")
+    partial = rows.mapInArrow(_kernel(offsets, TILE_ROWS), "key int, block int, sums array<double>")
+    together = partial.repartition(min(blocks, most), "block").sortWithinPartitions("block", "key")
+    names = [f"s{i}" for i in range(width)]
+    total = together.mapInArrow(_adder(width), ", ".join(["block int", "place int", *[f"{c} double" for c in names]]))
+    return total.select("block", "place", F.array(*names).alias("sums"))
 
 
 # Silhouette -----------------------------------------------------------------------------
@@ -111,9 +156,11 @@ def silhouettes(points: DataFrame, labels: Sequence[str]) -> dict[str, float | N
     offsets = np.concatenate([[0], np.cumsum([len(s) for s in sizes])]).astype(int)
     blocks = max(1, math.ceil(packed.count() / BLOCK_ROWS))
     home = F.pmod(F.xxhash64("x", "labels"), F.lit(blocks)).cast("int").alias("block")
-    packs = _written(packed.groupBy(home).agg(F.collect_list(F.struct("x", "labels", "w")).alias("points")))
-    placed = packs.select("block", F.posexplode("points").alias("place", "p")).select("block", "place", "p.labels", "p.w")
-    scored = block_sums(packs, blocks, offsets).join(placed, ["block", "place"])
+    lists = packed.groupBy(home).agg(F.collect_list(F.struct("x", "labels", "w")).alias("points"))
+    packs = _written(lists.select("block", F.flatten("points.x").alias("x"), F.col("points.labels").alias("labels"), F.col("points.w").alias("w")))
+    placed = packs.select("block", F.posexplode(F.arrays_zip("labels", "w")).alias("place", "p")).select("block", "place", "p.labels", "p.w")
+    # Merged: the packed table says nothing about the size of its rows one by one.
+    scored = block_sums(packs, blocks, offsets).join(placed.hint("merge"), ["block", "place"])
     means = [_mean_silhouette(j, sizes[j], int(offsets[j])).alias(f"m{j}") for j in range(len(labels))]
     row = scored.agg(*means).first()
     return {c: row[f"m{j}"] for j, c in enumerate(labels)}
