@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import functions as F
 
-from tillwork.operators import bandwidth, classify, forecast, meanshift, pairwise, scaling, segment
+from tillwork.operators import bandwidth, classify, forecast, kmeans, meanshift, pairwise, scaling, segment
 from tillwork.operators.tuning import run_parallel
 from tillwork.params import PREDICTORS
 
@@ -247,6 +247,38 @@ def test_mean_shift_leaves_resting_seeds_alone(cloud, monkeypatch):
     assert rounds == sorted(rounds, reverse=True) and rounds[-1] < first
 
 
+def test_mean_shift_of_few_seeds_is_that_of_the_join(cloud, monkeypatch):
+    df, xs, _ = cloud
+    twice = df.withColumn("_n", F.explode(F.array(F.lit(1), F.lit(2))))
+    bandwidths = {0.1: 1.1, 0.2: 2.4}
+    for rounds in (300, 1):
+        plain = meanshift.shift_seeds(twice, bandwidths, rounds).toPandas()
+        monkeypatch.setattr(meanshift, "MANY_POINTS", 100)
+        monkeypatch.setattr(meanshift, "SEEDS_AT_ONCE", 7)
+        asked, passes = [], meanshift.one_pass
+        monkeypatch.setattr(meanshift, "one_pass", lambda *args: asked.append(1) or passes(*args))
+        few = meanshift.shift_seeds(twice, bandwidths, rounds).toPandas()
+        monkeypatch.undo()
+        assert 0 < len(asked) <= rounds + 1
+        key = ["q", "s0", "s1", "s2"]
+        plain, few = plain.sort_values(key).reset_index(drop=True), few.sort_values(key).reset_index(drop=True)
+        pd.testing.assert_frame_equal(few[plain.columns], plain, check_exact=False, rtol=1e-12, atol=1e-12)
+
+
+def test_kmeans_fits_all_models_in_one_loop(cloud, monkeypatch):
+    """Jobs follow the slowest model, not the number of models; more centres than points are left out."""
+    df, xs, _ = cloud
+    passes, plain = [], kmeans.one_pass
+    monkeypatch.setattr(kmeans, "one_pass", lambda *args: passes.append(1) or plain(*args))
+    models = segment.kmeans_best(segment.with_vector(df), [2, 3, 4], 10)
+    assert len(passes) < 60
+    away = ((xs[:, None] - models[3].centres[None]) ** 2).sum(2).min(1)
+    assert models[3].summary.trainingCost == pytest.approx(away.sum())
+    two = df.where("customer_id < 2").crossJoin(df.sparkSession.range(3).select(F.lit(1).alias("_n")))
+    few = segment.kmeans_best(segment.with_vector(two), [2, 5], 2)
+    assert [len(few[k].centres) for k in (2, 5)] == [2, 2] and few[5].summary.trainingCost == pytest.approx(0, abs=1e-12)
+
+
 def test_kmeans_vectors_are_kept_by_the_fit(cloud, monkeypatch):
     df = cloud[0].selectExpr("customer_id", "1 + abs(x[0]) AS recency", "1 + abs(x[1]) AS frequency", "1 + abs(x[2]) AS revenue",
                              "noise AS premium")
@@ -285,6 +317,16 @@ def test_kmeans_sweep_and_relabel(cloud):
     assert found["gap"] == pytest.approx(found["km_3"]) and found["one"] is None
 
 
+def test_relabelling_two_groupings_keeps_the_plan_short(cloud):
+    df = cloud[0].withColumn("revenue", 100.0 - F.col("blob") * 10 - F.col("noise"))
+    both = segment.relabel_by_median(df, "blob", "noise")
+    nested = segment.relabel_by_median(segment.relabel_by_median(df, "blob"), "noise")
+    rows = lambda out: sorted(out.select("customer_id", "blob", "noise").collect())
+    assert rows(both) == rows(nested)
+    exchanges = lambda out: out._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert exchanges(both) < 2.5 * exchanges(segment.relabel_by_median(df, "blob"))
+
+
 def test_standardise(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (6.0, 5.0)], "a double, b double")
     got = scaling.standardize(df, ["a", "b"]).toPandas()
